@@ -9,8 +9,8 @@ candidates, and every candidate pair is verified by the exact Jaccard similarity
 
 Records with the same word set are one class from the start: only classes are banded and compared,
 so copies are never paired with each other on the way. Bands of two records can only lead to a
-pair if their set sizes allow the similarity, which the join checks before anything is gathered.
-No bucket is capped: AQE splits a large one.
+pair if their set sizes allow the similarity, which is checked before anything is gathered.
+No bucket is capped: a large one is paired by a join, which AQE splits.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 UNIVERSE = 1 << 20
 ROWS = 8  # coordinates of a band
+WIDE = 2_000  # classes in one bucket, beyond which a join pairs them
 BANDS = 40  # a pair at similarity 0.78 is missed with a chance of 0.3 %, at 0.85 of 1e-6
 
 
@@ -111,6 +112,72 @@ def banded(sets: DataFrame, rows: int, bands: int) -> DataFrame:
     return sets.select("cls", "n", "words").mapInArrow(build, "key bigint, cls bigint, n int")
 
 
+def bucket_pairs(keyed: DataFrame, threshold: float) -> DataFrame:
+    """(cls_a, cls_b) of classes that share a band and whose sizes allow the similarity, repeats included.
+
+    One shuffle by key, then each sorted partition is read run by run. A bucket of more than
+    ``WIDE`` classes leaves its task as it came and is paired by a join, which AQE can split.
+    """
+    from rhetorica.sources.tables import stored
+
+    def pair(batches: Iterable[pa.RecordBatch]):
+        held = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32)]
+        wide: int | None = None  # the key of a wide bucket that is being passed on
+
+        def out(a, b, key, n):
+            return pa.RecordBatch.from_pydict({"cls_a": pa.array(a, pa.int64()), "cls_b": b, "key": key, "n": n})
+
+        def close(key, cls, n):
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.r_[start, len(key)])
+            xs, ys = [], []
+            for m in np.unique(size[(size > 1) & (size <= WIDE)]):
+                i, j = np.triu_indices(m, 1)
+                first = start[size == m]
+                step = max(1, 2_000_000 // len(i))
+                for k in range(0, len(first), step):
+                    x = (first[k : k + step, None] + i).ravel()
+                    y = (first[k : k + step, None] + j).ravel()
+                    ok = (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9) & (cls[x] != cls[y])
+                    xs.append(x[ok])
+                    ys.append(y[ok])
+            if xs:
+                x, y = np.concatenate(xs), np.concatenate(ys)
+                pairs = np.unique(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
+                none = pa.nulls(pairs.shape[1], pa.int64())
+                yield out(pairs[0], pa.array(pairs[1], pa.int64()), none, none.cast(pa.int32()))
+            many = np.repeat(size > WIDE, size)
+            if many.any():
+                yield out(cls[many], pa.nulls(int(many.sum()), pa.int64()), pa.array(key[many]), pa.array(n[many], pa.int32()))
+
+        for b in batches:
+            key, cls, n = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns))
+            if not len(key):
+                continue
+            if wide is not None:
+                k = int(np.searchsorted(key != wide, True)) if key[0] == wide else 0
+                if k:
+                    yield out(cls[:k], pa.nulls(k, pa.int64()), pa.array(key[:k]), pa.array(n[:k], pa.int32()))
+                    key, cls, n = key[k:], cls[k:], n[k:]
+                if len(key):
+                    wide = None
+            last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if len(key) and (key != key[-1]).any() else 0
+            yield from close(key[:last], cls[:last], n[:last])
+            held = [key[last:], cls[last:], n[last:]]
+            if len(held[0]) > WIDE:
+                wide = int(held[0][0])
+                yield from close(*held)
+                held = [x[:0] for x in held]
+        yield from close(*held)
+
+    sorted_keys = keyed.repartition("key").sortWithinPartitions("key")
+    got = stored(sorted_keys.mapInArrow(pair, "cls_a bigint, cls_b bigint, key bigint, n int"), "bucket-pairs")
+    wide = got.where("cls_b is null").select("key", F.col("cls_a").alias("cls"), "n")
+    fits = F.expr("x.cls < y.cls") & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9)
+    joined = wide.alias("x").join(wide.alias("y"), F.expr("x.key = y.key")).where(fits).select(F.col("x.cls").alias("cls_a"), F.col("y.cls").alias("cls_b"))
+    return got.where("cls_b is not null").select("cls_a", "cls_b").unionByName(joined)
+
+
 class Links:
     """Similar classes and their members: ``classes`` (cls_a < cls_b, similarity) and ``members`` (id, cls)."""
 
@@ -156,11 +223,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     members = every.select("id", "cls").distinct()
     sets = every.select("cls", "n", "words").dropDuplicates(["cls"])
     keyed = banded(sets, rows, bands)
-    x, y = keyed.alias("x"), keyed.alias("y")
-    # The similarity of two sets is at most the smaller size over the larger.
-    fits = (F.col("x.cls") < F.col("y.cls")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9)
-    candidates = x.join(y, F.col("x.key") == F.col("y.key")).where(fits).select(F.col("x.cls").alias("cls_a"), F.col("y.cls").alias("cls_b")).distinct()
-    candidates = stored(candidates, "candidates")
+    candidates = stored(bucket_pairs(keyed, threshold).distinct(), "candidates")
     ends = candidates.select(F.col("cls_a").alias("cls")).unionByName(candidates.select(F.col("cls_b").alias("cls"))).distinct()
     used = every.select("cls", F.split("words", " ").alias("w")).join(ends, "cls", "left_semi").dropDuplicates(["cls"])
     used = stored(used, "candidate-sets")
