@@ -72,6 +72,50 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return _p6(spark, d).groups().withColumnRenamed("id", "row_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_turns(spark, d).select("file_id", "turn_no", "speaker", "n_words")
+
+
+def p4_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The ordered turns of each transcript, with their clean text."""
+    from rhetorica.llm.turns import speaker_turns
+
+    return speaker_turns(table(spark, d, "transcripts"), table(spark, d, "speakers"))
+
+
+def p4_names(spark: SparkSession, d: str) -> DataFrame:
+    """The speaker that each stored name of a processed stretch is a form of."""
+    from rhetorica.llm.turns import named_speakers
+
+    return named_speakers(table(spark, d, "processed"), "proc_id", "name", table(spark, d, "speakers")).withColumnRenamed("id", "proc_id")
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, for every capacity."""
+    from rhetorica.llm.packing import packed
+
+    return packed(table(spark, d, "documents"), table(spark, d, "capacities"))
+
+
+def p7_unused(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and unused room by capacity."""
+    from rhetorica.llm.packing import fill_report
+
+    return fill_report(p7_packed(spark, d), table(spark, d, "capacities"))
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the items of which they hold a passage, with up to two words edited."""
+    from rhetorica.llm.leakage import leaks
+
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold twelve consecutive words of an item: a window at edit distance 0."""
+    return p8_leaks(spark, d).where("distance = 0").select("doc_id", "item_id")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
