@@ -56,6 +56,20 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return latest(rows, "row_id", ["sent"], "loaded_at").select(F.col("id").alias("row_id"), forms.consistent(F.col("sent"), fold).alias("form"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence ends inside the stored sentences and the processed stretches."""
+    from rhetorica.llm.sentences import text_ends, token_ends
+
+    return text_ends(table(spark, d, "clean_sents"), "row_id", "sent", "clean_sents").unionByName(token_ends(table(spark, d, "processed"), "proc_id", "sents", "processed"))
+
+
+def p5_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence ends inside the documents."""
+    from rhetorica.llm.sentences import text_ends
+
+    return text_ends(table(spark, d, "documents"), "doc_id", "text", "documents")
+
+
 def _p6(spark: SparkSession, d: str):
     from rhetorica.llm.neardup import near_duplicates
 
