@@ -16,12 +16,17 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rhetorica.llm.arrays import distinct
 from rhetorica.llm.forms import Folder, default_folder
 
-FLUSH_EDGES = 4_000_000  # edges that a task holds before it drops repeated ones and emits them
+NEW_EDGES = 1_500_000  # edges that a task gathers before it drops repeated ones
+MOST_EDGES = 3_000_000  # distinct edges that a task holds before it emits them
+MASK = (1 << 24) - 1
+SALT = 8  # parts of a frequent term's edges
 
 
 def word_lists(texts: pa.Array, fold: Folder) -> pa.ListArray:
@@ -31,77 +36,80 @@ def word_lists(texts: pa.Array, fold: Folder) -> pa.ListArray:
 
 
 def edges(df: DataFrame, record_col: str, text_col: str, window: int = 3) -> DataFrame:
-    """(record, term, neighbour) from each text, neighbour as a hash; each task drops the repeats
-    it has seen since its last flush, so the shuffle gets pre-aggregated rows.
+    """The edges of each record's graph and the terms, as hashes: rows (record, x, y, null) are
+    edges, rows (null, x, null, term) say which term a hash stands for.
 
-    A word without a neighbour is its own neighbour, so that it still counts for the record.
+    Edges have no direction and come once. Each task drops the repeats among the edges that it
+    holds, so the shuffle gets pre-aggregated rows in sorted runs, which compress well. A word
+    without a neighbour gets an edge to itself, so that it still counts for the record.
     """
     fold = default_folder()
 
     def build(batches: Iterable[pa.RecordBatch]):
         vocab: dict[str, int] = {}
         recs: dict[str, int] = {}
-        held: list[np.ndarray] = []
-        n = 0
+        seen, new, n = np.zeros(0, np.int64), [], 0
 
         def flush():
-            if not held:
-                return
-            e = _unique(np.concatenate(held, axis=1))
-            names, records = list(vocab), list(recs)
-            hashes = np.array([_hash(w) for w in names], np.int64)
-            for k in range(0, e.shape[1], 200_000):
-                r, t, nb = e[:, k : k + 200_000]
-                yield pa.RecordBatch.from_pydict({
-                    "record": pa.DictionaryArray.from_arrays(pa.array(r, pa.int32()), pa.array(records, pa.string())).dictionary_decode(),
-                    "term": pa.DictionaryArray.from_arrays(pa.array(t, pa.int32()), pa.array(names, pa.string())).dictionary_decode(),
-                    "nb": pa.array(hashes[nb], pa.int64()),
-                })
+            names = list(vocab)
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) >> 16 for w in names], np.int64)
+            records = pa.array(list(recs), pa.string())
+            for k in range(0, len(seen), 100_000):
+                e = seen[k : k + 100_000]
+                record = pa.DictionaryArray.from_arrays(pa.array(e >> 48, pa.int32()), records).dictionary_decode()
+                yield pa.RecordBatch.from_pydict({"record": record, "x": pa.array(hashes[(e >> 24) & MASK]), "y": pa.array(hashes[e & MASK]), "term": pa.nulls(len(e), pa.string())})
+            for k in range(0, len(names), 100_000):
+                part = names[k : k + 100_000]
+                yield pa.RecordBatch.from_pydict({"record": pa.nulls(len(part), pa.string()), "x": pa.array(hashes[k : k + 100_000]), "y": pa.nulls(len(part), pa.int64()), "term": pa.array(part, pa.string())})
 
         for b in batches:
-            lists = word_lists(b.column(1), fold)
-            flat = lists.flatten()
-            rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-            enc = flat.dictionary_encode()
-            lut = np.array([vocab.setdefault(w, len(vocab)) for w in enc.dictionary.to_pylist()], np.int64)
-            code = lut[enc.indices.to_numpy()][full]
-            rows = rows[full]
-            rec_of = np.array([recs.setdefault(x, len(recs)) for x in b.column(0).to_pylist()], np.int64)
-            rec = rec_of[rows]
-            alone = np.ones(len(code), bool)
-            for d in range(1, window):
-                same = rows[d:] == rows[:-d]
-                x, y, r = code[:-d][same], code[d:][same], rec[d:][same]
-                held.append(np.stack([np.r_[r, r], np.r_[x, y], np.r_[y, x]]))
-                n += 2 * len(x)
-                if d == 1:
-                    alone[1:][same] = False
-                    alone[:-1][same] = False
-            if alone.any():
-                held.append(np.stack([rec[alone], code[alone], code[alone]]))
-            if n >= FLUSH_EDGES:
-                yield from flush()
-                held, n, vocab, recs = [], 0, {}, {}
+            for k in range(0, b.num_rows, 2_000):
+                part = b.slice(k, 2_000)
+                lists = word_lists(part.column(1), fold)
+                flat = lists.flatten()
+                rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+                enc = flat.dictionary_encode()
+                lut = np.array([vocab.setdefault(w, len(vocab)) for w in enc.dictionary.to_pylist()], np.int64)
+                code, rows = lut[enc.indices.to_numpy()][full], rows[full]
+                rec = np.array([recs.setdefault(x, len(recs)) for x in part.column(0).to_pylist()], np.int64)[rows] << 48
+                alone = np.ones(len(code), bool)
+                for d in range(1, window):
+                    same = rows[d:] == rows[:-d]
+                    x, y, r = code[:-d][same], code[d:][same], rec[d:][same]
+                    new.append(r | np.minimum(x, y) << 24 | np.maximum(x, y))
+                    n += len(x)
+                    if d == 1:
+                        alone[1:][same] = False
+                        alone[:-1][same] = False
+                new.append(rec[alone] | code[alone] << 24 | code[alone])
+                if n >= NEW_EDGES:
+                    seen, new, n = distinct(np.concatenate([seen, *new])), [], 0
+                if len(seen) >= MOST_EDGES or len(vocab) > MASK - 1_000_000 or len(recs) > 30_000:
+                    seen = distinct(np.concatenate([seen, *new]))
+                    yield from flush()
+                    seen, new, n, vocab, recs = seen[:0], [], 0, {}, {}
+        seen = distinct(np.concatenate([seen, *new]))
         yield from flush()
 
     rows = df.select(F.col(record_col).cast("string").alias("record"), F.col(text_col).alias("text")).where("record is not null and text is not null")
-    return rows.mapInArrow(build, "record string, term string, nb bigint")
+    return rows.mapInArrow(build, "record string, x bigint, y bigint, term string")
 
 
-def _hash(w: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(w) - (1 << 63)
-
+def degrees(df: DataFrame, record_col: str, text_col: str, window: int = 3) -> DataFrame:
+    """(record, term, degree): the number of distinct neighbours of each word in each record."""
+    from rhetorica.sources.tables import stored
 
-def _unique(e: np.ndarray) -> np.ndarray:
-    """Distinct columns of (record, term, neighbour) codes."""
-    bits = 24
-    if max(e[1].max(), e[2].max()) < 1 << bits and e[0].max() < 1 << 15:
-        k = np.unique((e[0] << (2 * bits)) | (e[1] << bits) | e[2])
-        return np.stack([k >> (2 * bits), (k >> bits) & ((1 << bits) - 1), k & ((1 << bits) - 1)])
-    return np.unique(e, axis=1)
+    # The order of two words differs from task to task, so it's that of their hashes from here on.
+    e = edges(df, record_col, text_col, window)
+    low, high = F.coalesce(F.least("x", "y"), "x").alias("x"), F.when(F.col("y").isNotNull(), F.greatest("x", "y")).alias("y")
+    spread = e.select("record", low, high, "term").withColumn("salt", F.pmod(F.coalesce("y", F.lit(0)), F.lit(SALT)).cast("int")).repartition("record", "x", "salt")
+    once = spread.groupBy("record", "x", "salt", "y", "term").agg(F.lit(1).alias("one"))
+    ends = F.when(F.col("y").isNull() | (F.col("x") == F.col("y")), F.array("x")).otherwise(F.array("x", "y"))
+    counted = once.select("record", "term", F.explode(ends).alias("h")).groupBy("record", "h", "term").agg(F.count(F.lit(1)).alias("degree"))
+    counted = stored(counted, "degrees")
+    terms = counted.where("term is not null").select("h", "term")
+    return counted.where("term is null").select("record", "h", "degree").join(terms, "h").groupBy("record", "term").agg(F.max("degree").alias("degree"))
 
 
 def scores(df: DataFrame, record_col: str, text_col: str, window: int = 3) -> DataFrame:
@@ -110,10 +118,9 @@ def scores(df: DataFrame, record_col: str, text_col: str, window: int = 3) -> Da
     df: one row per text of a record. Null records and null texts count nothing; an empty text has
     no words; repeated texts add no neighbours. An empty table gives no rows.
     """
-    degree = edges(df, record_col, text_col, window).distinct().groupBy("record", "term").agg(F.count("nb").alias("degree"))
     from rhetorica.sources.tables import stored
 
-    degree = stored(degree, "degrees")
+    degree = stored(degrees(df, record_col, text_col, window), "record-terms")
     size = degree.groupBy("record").agg(F.sum("degree").alias("size"))
     share = degree.join(size, "record").withColumn("share", F.col("degree") / F.col("size"))
     rare = share.groupBy("term").agg((F.sum("share") * F.sum("share") / F.sum(F.col("share") * F.col("share"))).alias("held_by"))
