@@ -130,6 +130,26 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).where("distance = 0").select("doc_id", "item_id")
 
 
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score and verdict for every document, by a model trained on the reviewers' marks."""
+    from rhetorica.llm import abuse
+
+    docs = table(spark, d, "documents")
+    model = abuse.train(abuse.labelled_texts(docs, table(spark, d, "doc_labels")))
+    return abuse.scored(docs.select("doc_id", "source", "text"), model)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where("abusive and doc_id is not null").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of abusive documents by source."""
+    from rhetorica.llm import abuse
+
+    return abuse.rates(p9_scores(spark, d), "source")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
