@@ -131,8 +131,8 @@ class Model:
         return total / self_weight(lengths) + self.bias
 
 
-def kernel(texts: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel values of texts and landmarks (texts x landmarks)."""
+def kernel(texts: list[str], landmarks: list[str], onto: np.ndarray | None = None) -> np.ndarray:
+    """Kernel values of texts and landmarks (texts x landmarks), times ``onto`` if it is given; in small blocks."""
     lp, lw, lr = features(landmarks)
     key = lp * len(landmarks) + lr
     order = np.argsort(key, kind="stable")
@@ -140,36 +140,41 @@ def kernel(texts: list[str], landmarks: list[str]) -> np.ndarray:
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     lw = np.add.reduceat(lw, first) if len(first) else lw
     lp, lr = key[first] // len(landmarks), key[first] % len(landmarks)
-    count = np.bincount(lp, minlength=1 << BITS)
-    begin = np.cumsum(count) - count
-    out = np.zeros((len(texts), len(landmarks)))
-    for lo in range(0, len(texts), 64):
-        part = texts[lo : lo + 64]
+    count = np.bincount(lp, minlength=1 << BITS).astype(np.int32)
+    begin = (np.cumsum(count) - count).astype(np.int32)
+    norm = lambda ts: self_weight(np.array([len(t) for t in ts]))
+    own = norm(landmarks)[None, :]
+    out = np.zeros((len(texts), len(landmarks) if onto is None else onto.shape[1]), np.float32)
+    for lo in range(0, len(texts), 16):
+        part = texts[lo : lo + 16]
         p, w, r = features(part)
         keep = count[p] > 0
         p, w, r = p[keep], w[keep], r[keep]
         n = count[p]
         at = np.repeat(begin[p] - np.cumsum(n) + n, n) + np.arange(n.sum())
         flat = np.bincount(np.repeat(r, n) * len(landmarks) + lr[at], weights=np.repeat(w, n) * lw[at], minlength=len(part) * len(landmarks))
-        out[lo : lo + 64] = flat.reshape(len(part), len(landmarks))
-    norm = lambda ts: self_weight(np.array([len(t) for t in ts]))
-    return out / norm(texts)[:, None] / norm(landmarks)[None, :]
+        block = flat.reshape(len(part), len(landmarks)) / norm(part)[:, None] / own
+        out[lo : lo + 16] = block if onto is None else block @ onto
+    return out
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM by Newton steps; y is -1 or 1."""
-    xb = np.c_[x, np.ones(len(x))]
-    w = np.zeros(xb.shape[1])
-    ridge = np.eye(len(w))
-    ridge[-1, -1] = 1e-3
+    """Squared-hinge linear SVM by Newton steps; y is -1 or 1. Rows are used in blocks, without copies of the whole."""
+    d = x.shape[1] + 1
+    w = np.zeros(d)
     for _ in range(rounds):
-        margin = 1 - y * (xb @ w)
-        on = margin > 0
-        xs = xb[on] * weight[on, None]
-        new = np.linalg.solve(ridge + 2 * c * xb[on].T @ xs, 2 * c * xs.T @ y[on])
-        step = new - w
-        w = w + step
-        if np.abs(step).max() < 1e-6:
+        h, g = np.eye(d), np.zeros(d)
+        h[-1, -1] = 1e-3
+        for lo in range(0, len(x), 2_048):
+            b, t = np.c_[x[lo : lo + 2_048], np.ones(len(x[lo : lo + 2_048]))], y[lo : lo + 2_048]
+            on = t * (b @ w) < 1
+            b, t, v = b[on], t[on], weight[lo : lo + 2_048][on]
+            h += 2 * c * b.T @ (b * v[:, None])
+            g += 2 * c * b.T @ (v * t)
+        new = np.linalg.solve(h, g)
+        done = np.abs(new - w).max() < 1e-6
+        w = new
+        if done:
             break
     return w[:-1], float(w[-1])
 
@@ -205,11 +210,11 @@ def train(docs: list[tuple[str, float]], landmarks: int = LANDMARKS, c: float =
         if len(taken) < landmarks - half // 2 and (not taken or alike[i, taken].max() < 0.7 * alike[i, i]):
             taken.append(i)
     marks = [front[i] for i in taken] + pick(clean, half)
-    k = kernel(marks, marks)
+    k = kernel(marks, marks).astype(np.float64)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     keep = values > 1e-3 * values[-1]
     to = vectors[:, keep] / np.sqrt(values[keep])
-    xc, xs = kernel(clean, marks) @ to, kernel(suspects, marks) @ to
+    xc, xs = kernel(clean, marks, to), kernel(suspects, marks, to)
     often = np.sqrt([outside[s] for s in clean])
     # First all suspects count as cases: forms of sentence that unmarked documents hold as well are outvoted.
     w, bias = fit_svm(np.r_[xs, xc], np.r_[np.ones(len(xs)), -np.ones(len(xc))], np.r_[np.full(len(xs), 0.5), often], c)
@@ -234,22 +239,20 @@ def train(docs: list[tuple[str, float]], landmarks: int = LANDMARKS, c: float =
 def own_kind(texts: list[str], others: list[str]) -> np.ndarray:
     """Mean log-odds of a text's subsequences among ``texts`` against ``others``."""
 
-    def counts(ts: list[str]) -> tuple[np.ndarray, list]:
-        total, parts = np.zeros(1 << BITS), []
+    def counts(ts: list[str]) -> np.ndarray:
+        total = np.zeros(1 << BITS)
         for lo in range(0, len(ts), 256):
-            p, w, r = features(ts[lo : lo + 256])
+            p, w, _ = features(ts[lo : lo + 256])
             total += np.bincount(p, weights=w, minlength=1 << BITS)
-            parts.append((p, w, r + lo))
-        return total, parts
-
-    a, parts = counts(texts)
-    b, _ = counts(others)
-    odds = np.log((a + 0.1) / max(len(texts), 1)) - np.log((b + 0.1) / max(len(others), 1))
-    out, weight = np.zeros(len(texts)), np.full(len(texts), 1e-9)
-    for p, w, r in parts:
-        out += np.bincount(r, weights=w * odds[p], minlength=len(texts))
-        weight += np.bincount(r, weights=w, minlength=len(texts))
-    return out / weight
+        return total
+
+    odds = np.log((counts(texts) + 0.1) / max(len(texts), 1)) - np.log((counts(others) + 0.1) / max(len(others), 1))
+    out = np.zeros(len(texts))
+    for lo in range(0, len(texts), 256):
+        p, w, r = features(texts[lo : lo + 256])
+        n = len(texts[lo : lo + 256])
+        out[lo : lo + n] = np.bincount(r, weights=w * odds[p], minlength=n) / np.maximum(np.bincount(r, weights=w, minlength=n), 1e-9)
+    return out
 
 
 def distinct_texts(texts: Iterable[str]) -> list[str]:
