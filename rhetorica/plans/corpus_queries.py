@@ -234,6 +234,16 @@ def g01_sn_grams(spark, d):
     return syntax.sn_grams(_edges(spark, d), 1, 3)
 
 
+@query(
+    f"""WITH {STRETCHES_SQL}, e AS (SELECT doc AS sent_id, t, unnest(range(1, len(t) + 1)) AS i FROM stretches)
+SELECT sent_id, 1 AS n, t[i] AS gram FROM e
+UNION ALL SELECT sent_id, 2, t[i - 1] || '_' || t[i] FROM e WHERE i >= 2
+UNION ALL SELECT sent_id, 3, t[i - 2] || '_' || t[i - 1] || '_' || t[i] FROM e WHERE i >= 3"""
+)
+def g03_spanning_grams(spark, d):
+    return syntax.spanning_grams(_edges(spark, d), 1, 3)
+
+
 # Statistics ------------------------------------------------------------------------------------
 
 
@@ -305,6 +315,12 @@ def e23_chunks(spark, d):
     return util.chunked(speech(spark, d), "speaker", "row_id", "sent", 5, "").withColumn("items", F.array_join("items", "|"))
 
 
+@query(f"WITH {SPEECH_SQL}, s AS (SELECT lang, avg(length(sent)) AS score FROM speech GROUP BY lang) SELECT round(avg(score), 6) AS mean, round(1.96 * stddev_pop(score), 6) AS spread FROM s")
+def e18_mean_and_spread(spark, d):
+    per = speech(spark, d).groupBy("lang").agg(F.avg(F.length("sent")).alias("score"))
+    return evaluate.mean_and_spread(per, "score").select(F.round("mean", 6).alias("mean"), F.round("spread", 6).alias("spread"))
+
+
 @query("SELECT row_id, lang FROM (SELECT DISTINCT row_id, lang FROM clean_sents WHERE row_id IS NOT NULL) ORDER BY row_id LIMIT 5000")
 def e26_ordered_slice(spark, d):
     return table(spark, d, "clean_sents").where("row_id is not null").select("row_id", "lang").distinct().orderBy("row_id").limit(5000)
@@ -318,7 +334,7 @@ def u01_sample(spark, d):
     return util.sample(table(spark, d, "documents").where("doc_id is not null").select("doc_id", "source"), "doc_id", 100, 7)
 
 
-@query("SELECT proc_id, unnest(flatten(sents)) AS token, count(*) AS n FROM processed WHERE sents IS NOT NULL GROUP BY ALL")
+@query("SELECT proc_id, token, count(*) AS n FROM (SELECT proc_id, unnest(flatten(sents)) AS token FROM processed WHERE sents IS NOT NULL) GROUP BY proc_id, token")
 def u02_flatten(spark, d):
     return table(spark, d, "processed").select("proc_id", F.explode(util.flatten(F.col("sents"))).alias("token")).groupBy("proc_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
@@ -337,8 +353,8 @@ def u04_chunks(spark, d):
 
 
 @query(
-    f"""WITH {STRETCHES_SQL}, e AS (SELECT doc, unnest(range(len(t))) AS pos, unnest(t) AS token FROM stretches), f AS (SELECT token, min((doc, pos)) AS at FROM e GROUP BY token)
-SELECT token, row_number() OVER (ORDER BY at) - 1 AS id FROM f"""
+    f"""WITH {STRETCHES_SQL}, e AS (SELECT doc, unnest(range(len(t))) AS pos, unnest(t) AS token FROM stretches), f AS (SELECT token, min((doc, pos)) AS first_at FROM e GROUP BY token)
+SELECT token, row_number() OVER (ORDER BY first_at) - 1 AS id FROM f"""
 )
 def u05_token_dictionary(spark, d):
     rows = stretches(spark, d).select("doc", F.posexplode("tokens").alias("pos", "token"))

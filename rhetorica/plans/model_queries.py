@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rhetorica.operators import calibrate, classify, evaluate, lm, ngrams
+from rhetorica.operators import calibrate, classify, evaluate, learners, lm, ngrams
 from rhetorica.operators import transcripts as tr
 from rhetorica.plans.inputs import STRETCHES_SQL, WORDS_OF_SPEECH_SQL, spoken_words, stretches
 from rhetorica.plans.registry import query
@@ -281,3 +281,44 @@ def e19_soft_vote(spark, d):
     flat = _prior(spark, d).withColumn("log2_prior", F.lit(0.0))
     b = classify.posterior(nb, flat).select("doc", F.col("model").alias("label"), "p", F.lit(1.0).alias("weight"))
     return evaluate.best_label(evaluate.soft_vote(a.unionByName(b)), "p")
+
+
+@query()
+def e08_logistic(spark, d):
+    """Speakers guessed for the stretches by a linear model on bags of words; trained on the sentences."""
+    return _learned(spark, d, learners.linear("log", "l2", 1e-3))
+
+
+@query()
+def e09_forest(spark, d):
+    return _learned(spark, d, learners.forest(trees=10, depth=6, seed=1))
+
+
+def _learned(spark, d, learner):
+    train = stored(spoken_words(spark, d).select("tokens", F.col("speaker").alias("label")), "bags")
+    model = learners.fit(train, learner)
+    known = _names(spark, d)
+    guess = model.transform(known)
+    labels = model.stages[1].labels
+    named = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
+    return guess.select("doc", F.col("label").alias("truth"), named.alias("guess"))
+
+
+def _names(spark, d):
+    """(doc, tokens, label) of the stretches whose stored name is a speaker."""
+    known = table(spark, d, "speakers").select(F.col("speaker").alias("label")).distinct()
+    return stretches(spark, d).withColumn("label", F.upper(tr.clean_label(F.col("name")))).join(known, "label", "left_semi").select("doc", "tokens", "label")
+
+
+@query(f"WITH {SCORES_SQL} SELECT doc, model, round(pow(2, log2(prior) - neg_log2), 12) AS joint FROM scores JOIN prior USING (model)")
+def c07_joint_proba(spark, d):
+    return classify.joint_proba(_scores(spark, d), _prior(spark, d)).withColumn("joint", F.round("joint", 12))
+
+
+@query()
+def k06_isotonic(spark, d):
+    """Class probabilities of the stretches by rising curves instead of sigmoids, for the three classes with most of them."""
+    s = _class_scores(spark, d)
+    top = s.where("truth = label").groupBy("label").count().orderBy(F.desc("count"), "label").limit(3)
+    s = s.join(F.broadcast(top.select("label")), "label", "left_semi")
+    return calibrate.Calibrator("isotonic").fit(s).predict_proba(s.select("doc", "label", "score"))
