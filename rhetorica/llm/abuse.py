@@ -264,15 +264,15 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, most: int = MOST_DOC
     of of reviewers that marked them. Null texts, null marks and texts of more than TRAIN_CHARS
     characters are left out."""
     mark = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("m"))
-    mark = mark.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(mark, "doc_id").select("doc_id", "text", "m").collect()
+    mark = mark.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most ``most`` rows of two numbers, so it can be broadcast
+    rows = documents.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(mark), "doc_id").select("doc_id", "text", "m").collect()
     return [(r.text, float(r.m)) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``documents`` but the text, with ``score`` (that of the worst sentence) and
+    """All columns of ``documents`` but the text and earlier verdicts, with ``score`` (that of the worst sentence) and
     ``abusive``. Null and empty texts get a null score and aren't abusive. Texts are scored whole."""
-    others = [c for c in documents.columns if c != "text"]
+    others = [c for c in documents.columns if c not in ("text", "score", "abusive")]
     sent = documents.sparkSession.sparkContext.broadcast(model)  # one table of 2 ** BITS weights, whatever the data
 
     @F.pandas_udf("double")

@@ -112,11 +112,11 @@ def banded(sets: DataFrame, rows: int, bands: int) -> DataFrame:
     return sets.select("cls", "n", "words").mapInArrow(build, "key bigint, cls bigint, n int")
 
 
-def bucket_pairs(keyed: DataFrame, threshold: float) -> DataFrame:
+def bucket_pairs(keyed: DataFrame, threshold: float, most: int = WIDE) -> DataFrame:
     """(cls_a, cls_b) of classes that share a band and whose sizes allow the similarity, repeats included.
 
     One shuffle by key, then each sorted partition is read run by run. A bucket of more than
-    ``WIDE`` classes leaves its task as it came and is paired by a join, which AQE can split.
+    ``most`` classes leaves its task as it came and is paired by a join, which AQE can split.
     """
     from rhetorica.sources.tables import stored
 
@@ -131,7 +131,7 @@ def bucket_pairs(keyed: DataFrame, threshold: float) -> DataFrame:
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
             size = np.diff(np.r_[start, len(key)])
             xs, ys = [], []
-            for m in np.unique(size[(size > 1) & (size <= WIDE)]):
+            for m in np.unique(size[(size > 1) & (size <= most)]):
                 i, j = np.triu_indices(m, 1)
                 first = start[size == m]
                 step = max(1, 2_000_000 // len(i))
@@ -146,7 +146,7 @@ def bucket_pairs(keyed: DataFrame, threshold: float) -> DataFrame:
                 pairs = np.unique(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
                 none = pa.nulls(pairs.shape[1], pa.int64())
                 yield out(pairs[0], pa.array(pairs[1], pa.int64()), none, none.cast(pa.int32()))
-            many = np.repeat(size > WIDE, size)
+            many = np.repeat(size > most, size)
             if many.any():
                 yield out(cls[many], pa.nulls(int(many.sum()), pa.int64()), pa.array(key[many]), pa.array(n[many], pa.int32()))
 
@@ -164,7 +164,7 @@ def bucket_pairs(keyed: DataFrame, threshold: float) -> DataFrame:
             last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if len(key) and (key != key[-1]).any() else 0
             yield from close(key[:last], cls[:last], n[:last])
             held = [key[last:], cls[last:], n[last:]]
-            if len(held[0]) > WIDE:
+            if len(held[0]) > most:
                 wide = int(held[0][0])
                 yield from close(*held)
                 held = [x[:0] for x in held]
@@ -210,7 +210,7 @@ class Links:
         return self.members.join(per.join(named, "root").drop("root"), "cls").select("id", "class_id", "group_id", "links")
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, least_words: int = 1, rows: int = ROWS, bands: int = BANDS) -> Links:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, least_words: int = 1, rows: int = ROWS, bands: int = BANDS, wide: int = WIDE) -> Links:
     """Links between texts whose sets of words have a Jaccard similarity of ``threshold`` or more.
 
     Repeated deliveries of an id count once; null texts and texts with fewer than ``least_words``
@@ -223,7 +223,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     members = every.select("id", "cls").distinct()
     sets = every.select("cls", "n", "words").dropDuplicates(["cls"])
     keyed = banded(sets, rows, bands)
-    candidates = stored(bucket_pairs(keyed, threshold).distinct(), "candidates")
+    candidates = stored(bucket_pairs(keyed, threshold, wide).distinct(), "candidates")
     ends = candidates.select(F.col("cls_a").alias("cls")).unionByName(candidates.select(F.col("cls_b").alias("cls"))).distinct()
     used = every.select("cls", F.split("words", " ").alias("w")).join(ends, "cls", "left_semi").dropDuplicates(["cls"])
     used = stored(used, "candidate-sets")

@@ -108,7 +108,7 @@ def _closing(word: str, prev: str) -> float:
     if core in MONTHS:
         return -4.0
     if core in NUMBERED:
-        return 1.0 if prev.endswith(",") else -3.0
+        return 3.0 if prev.endswith(",") else -3.0
     if core == "etc":
         return -1.0
     if core.isdigit():
