@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rhetorica.operators import ngrams
+
 
 def length_stats(df: DataFrame, by: str, tokens: str = "tokens") -> DataFrame:
     """(by, n, mean, spread): number and mean length of sentences, spread is 1.96 standard deviations of the population."""
@@ -29,15 +31,10 @@ def word_counts(df: DataFrame, by: str, tokens: str = "tokens", stop: DataFrame
 
 def vectorize(df: DataFrame, doc: str, tokens: str = "tokens", least: int = 1, most: int = 1, stop: Sequence[str] = ()) -> DataFrame:
     """(doc, gram, n): counts of word n-grams from ``least`` to ``most`` words, joined by spaces; stop words leave before."""
-    from rhetorica.operators.ngrams import SEP, windows
-
-    t = F.filter(tokens, lambda x: ~x.isin(list(stop))) if stop else F.col(tokens)
-
-    def of(k: int) -> Column:
-        return F.transform(windows(t, k), lambda w: F.concat(F.when(w["ctx"] == "", F.lit("")).otherwise(F.concat(F.replace(w["ctx"], F.lit(SEP), F.lit(" ")), F.lit(" "))), w["tok"]))
-
-    grams = F.concat(*[of(k) for k in range(least, most + 1)])
-    return df.select(F.col(doc).alias("doc"), F.explode(grams).alias("gram")).groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("n"))
+    t = F.filter(F.col(tokens), lambda x: ~x.isin(list(stop))) if stop else F.col(tokens)
+    rows = ngrams.grams(df, [F.col(doc).alias("doc")], t, list(range(least, most + 1)))
+    gram = F.when(F.col("ord") == 1, F.col("tok")).otherwise(F.concat(F.translate("ctx", ngrams.SEP, " "), F.lit(" "), "tok"))
+    return rows.select("doc", gram.alias("gram")).groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def naive_bayes(bags: DataFrame, labels: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rhetorica.operators import ngrams
@@ -21,17 +21,20 @@ from rhetorica.sources.tables import stored
 
 TINY = 1e-300  # stands for a backoff weight of 0, so that logarithms stay finite
 FULL = 1e-12
+TABLES = ("probs", "alphas", "bins", "base", "backed")
 
 
 def shorter(ctx: Column) -> Column:
     """A context without its first token."""
-    return F.when(F.instr(ctx, ngrams.SEP) > 0, F.regexp_replace(ctx, f"^[^{ngrams.SEP}]*{ngrams.SEP}", "")).otherwise(F.lit(""))
+    at = F.instr(ctx, ngrams.SEP)
+    return F.when(at > 0, F.substr(ctx, at + 1)).otherwise(F.lit(""))
 
 
 @dataclass
 class Model:
     """probs (model, ord, ctx, tok, c, p), alphas (model, ord, ctx, alpha), bins (model, ord, b) and
-    base (model, oov): the unknown-word probability; n is the highest order."""
+    base (model, oov): the unknown-word probability; n is the highest order. backed holds, for each
+    n-gram above order 1, its p, the p_low of the shorter one and the alpha of its context."""
 
     n: int
     gamma: float
@@ -39,9 +42,10 @@ class Model:
     alphas: DataFrame
     bins: DataFrame
     base: DataFrame
+    backed: DataFrame
 
     def save(self, path: str) -> None:
-        for name in ("probs", "alphas", "bins", "base"):
+        for name in TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         spark = self.probs.sparkSession
         spark.createDataFrame([(self.n, self.gamma)], "n int, gamma double").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
@@ -49,7 +53,7 @@ class Model:
     @staticmethod
     def load(spark: SparkSession, path: str) -> Model:
         about = spark.read.parquet(f"{path}/about").first()
-        return Model(about.n, about.gamma, *[spark.read.parquet(f"{path}/{t}") for t in ("probs", "alphas", "bins", "base")])
+        return Model(about.n, about.gamma, *[spark.read.parquet(f"{path}/{t}") for t in TABLES])
 
     def contexts(self) -> DataFrame:
         """(model, ord, ctx) that were seen."""
@@ -66,22 +70,22 @@ def build(counts: DataFrame, n: int, gamma: float, keep: bool = True) -> Model:
     if gamma < 0:
         raise ValueError("gamma must not be negative")
     bins = counts.groupBy("model", "ord").agg(F.countDistinct("tok").alias("b"))
-    totals = counts.groupBy("model", "ord", "ctx").agg(F.sum("c").alias("total"))
-    probs = (
-        counts.join(totals, ["model", "ord", "ctx"]).join(F.broadcast(bins) if _few(bins) else bins, ["model", "ord"])
-        .select("model", "ord", "ctx", "tok", "c", ((F.col("c") + gamma) / (F.col("total") + gamma * F.col("b"))).alias("p"))
-    )
+    context = Window.partitionBy("model", "ord", "ctx")
+    sized = counts.withColumn("total", F.sum("c").over(context)).join(F.broadcast(bins) if _few(bins) else bins, ["model", "ord"])
+    probs = sized.select("model", "ord", "ctx", "tok", "c", ((F.col("c") + gamma) / (F.col("total") + gamma * F.col("b"))).alias("p"))
     if keep:
         probs = stored(probs, "lm-probs")
-    low = probs.select("model", (F.col("ord") + 1).alias("ord"), F.col("ctx").alias("tail"), "tok", F.col("p").alias("p_low"))
+    low = probs.where(F.col("ord") < n).select("model", (F.col("ord") + 1).alias("ord"), F.col("ctx").alias("tail"), "tok", F.col("p").alias("p_low"))
     pairs = probs.where("ord > 1").withColumn("tail", shorter(F.col("ctx"))).join(low, ["model", "ord", "tail", "tok"])
-    over, under = 1 - F.sum("p"), 1 - F.sum("p_low")
-    alphas = pairs.groupBy("model", "ord", "ctx").agg(F.when(under <= FULL, F.lit(0.0)).otherwise(F.greatest(over, F.lit(0.0)) / under).alias("alpha"))
+    over, under = 1 - F.sum("p").over(context), 1 - F.sum("p_low").over(context)
+    alpha = F.when(under <= FULL, F.lit(0.0)).otherwise(F.greatest(over, F.lit(0.0)) / under)
+    backed = pairs.select("model", "ord", "ctx", "tok", "p", "p_low", alpha.alias("alpha"))
     if keep:
-        alphas = stored(alphas, "lm-alphas")
-    tokens = totals.where("ord = 1").select("model", "total")
+        backed = stored(backed, "lm-backed")
+    alphas = backed.groupBy("model", "ord", "ctx").agg(F.max("alpha").alias("alpha"))
+    tokens = counts.where("ord = 1").groupBy("model").agg(F.sum("c").alias("total"))
     base = tokens.join(bins.where("ord = 1").select("model", "b"), "model").select("model", (gamma / (F.col("total") + gamma * F.col("b"))).alias("oov"))
-    return Model(n, gamma, probs, alphas, bins, base)
+    return Model(n, gamma, probs, alphas, bins, base, backed)
 
 
 def _few(df: DataFrame, most: int = 10_000) -> bool:
@@ -97,15 +101,11 @@ def train(df: DataFrame, n: int, gamma: float, model: str = "model", tokens: str
 def corrections(m: Model) -> DataFrame:
     """(model, key, delta): what a seen unigram, context or n-gram adds to the log2 score."""
     log = lambda c: F.log2(F.greatest(c, F.lit(TINY)))
-    grams = m.probs.select("model", "ord", "ctx", "tok", F.log2("p").alias("lp"))
-    unigrams = grams.where("ord = 1").join(m.base, "model").select("model", gram_key(F.lit(1), F.lit(""), F.col("tok")).alias("key"), (F.col("lp") - F.log2("oov")).alias("delta"))
+    grams = m.probs.where("ord = 1").select("model", "tok", F.log2("p").alias("lp"))
+    base = F.broadcast(m.base) if _few(m.base) else m.base
+    unigrams = grams.join(base, "model").select("model", gram_key(F.lit(1), F.lit(""), F.col("tok")).alias("key"), (F.col("lp") - F.log2("oov")).alias("delta"))
     contexts = m.alphas.select("model", context_key(F.col("ord"), F.col("ctx")).alias("key"), log(F.col("alpha")).alias("delta"))
-    low = grams.select("model", (F.col("ord") + 1).alias("ord"), F.col("ctx").alias("tail"), "tok", F.col("lp").alias("lp_low"))
-    longer = (
-        grams.where("ord > 1").withColumn("tail", shorter(F.col("ctx"))).join(low, ["model", "ord", "tail", "tok"])
-        .join(m.alphas, ["model", "ord", "ctx"])
-        .select("model", gram_key(F.col("ord"), F.col("ctx"), F.col("tok")).alias("key"), (F.col("lp") - log(F.col("alpha")) - F.col("lp_low")).alias("delta"))
-    )
+    longer = m.backed.select("model", gram_key(F.col("ord"), F.col("ctx"), F.col("tok")).alias("key"), (F.log2("p") - log(F.col("alpha")) - F.log2("p_low")).alias("delta"))
     return unigrams.unionByName(contexts).unionByName(longer)
 
 
@@ -120,8 +120,8 @@ def context_key(order: Column, ctx: Column) -> Column:
 def text_keys(df: DataFrame, n: int, doc: str, tokens: str, pad_left: bool = False, pad_right: bool = False) -> DataFrame:
     """(doc, key, times) of all corrections that a text's top-order windows may get."""
     t = F.col(tokens).cast("array<string>")
-    top = df.select(F.col(doc).alias("doc"), F.explode(ngrams.windows(ngrams.padded(t, n, pad_left, pad_right) if pad_left or pad_right else t, n)).alias("w"))
-    top = top.groupBy("doc", "w.ctx", "w.tok").agg(F.count(F.lit(1)).alias("times"))
+    t = ngrams.padded(t, n, pad_left, pad_right) if pad_left or pad_right else t
+    top = ngrams.grams(df, [F.col(doc).alias("doc")], t, [n]).groupBy("doc", "ctx", "tok").agg(F.count(F.lit(1)).alias("times"))
     tails: list[Column] = [F.col("ctx")]  # context of order n, n - 1, ... 1
     for _ in range(n - 1):
         tails.append(shorter(tails[-1]))
@@ -205,8 +205,6 @@ def generate(m: Model, model: str, words: int, context: list[str] | None = None,
             rows = m.probs.where((F.col("model") == model) & (F.col("ord") == k) & (F.col("ctx") == ctx)).select("tok", "p").orderBy("tok")
             total = rows.agg(F.sum("p")).first()[0]
             if total:
-                from pyspark.sql import Window
-
                 up = rows.withColumn("up", F.sum("p").over(Window.partitionBy(F.lit(0)).orderBy("tok")))
                 hit = up.where(F.col("up") >= rng.random() * total).orderBy("up").first()
                 out.append(hit.tok if hit else rows.orderBy(F.desc("tok")).first().tok)

@@ -1,6 +1,6 @@
 """N-gram windows and counts.
 
-Windows are made within each row's token array, so no window or sort over rows is needed: every
+N-grams are made within each row's token array, so no window or sort over rows is needed: every
 order up to n comes from one pass, and counts are combined in the map stage.
 """
 
@@ -23,23 +23,37 @@ def padded(tokens: Column, n: int, left: bool = True, right: bool = True) -> Col
     return F.concat(*parts) if len(parts) > 1 else tokens
 
 
-def windows(tokens: Column, n: int) -> Column:
-    """All windows of n tokens as (ctx, tok) structs; ctx joins the first n - 1 tokens. Fewer tokens give none."""
-    last = F.size(tokens) - n + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    ctx = (lambda i: F.array_join(F.slice(tokens, i, n - 1), SEP)) if n > 1 else (lambda i: F.lit(""))
-    return F.transform(starts, lambda i: F.struct(ctx(i).alias("ctx"), F.element_at(tokens, i + n - 1).alias("tok")))
+def positions(df: DataFrame, keep: list[Column], tokens: Column, n: int) -> DataFrame:
+    """``keep`` and w1 ... wn for each position: its token and the n - 1 that follow, null past the end.
 
+    Shifted copies of the array are zipped and exploded, which stays in generated code.
+    """
+    size = F.size(tokens)
+    shifted = [tokens if k == 1 else F.slice(tokens, k, F.greatest(size, F.lit(0))) for k in range(1, n + 1)]
+    rows = df.where(size > 0).select(*keep, F.explode(F.arrays_zip(*[s.alias(f"w{k}") for k, s in enumerate(shifted, 1)])).alias("_w"))
+    names = rows.columns[: len(keep)]
+    fields = [f.name for f in rows.schema["_w"].dataType.fields]
+    return rows.select(*names, *[F.col("_w").getField(f).alias(f"w{k}") for k, f in enumerate(fields, 1)])
 
-def all_windows(tokens: Column, n: int, pad_left: bool = False, pad_right: bool = False) -> Column:
-    """(ord, ctx, tok) structs of all orders from 1 to n."""
 
-    def of_order(k: int) -> Column:
-        t = padded(tokens, k, pad_left, pad_right) if pad_left or pad_right else tokens
-        return F.transform(windows(t, k), lambda w: F.struct(F.lit(k).alias("ord"), w["ctx"].alias("ctx"), w["tok"].alias("tok")))
+def context(k: int) -> Column:
+    """The context of the k-gram at a position."""
+    return F.concat_ws(SEP, *[F.col(f"w{j}") for j in range(1, k)]) if k > 1 else F.lit("")
 
-    per = [of_order(k) for k in range(1, n + 1)]
-    return F.concat(*per) if len(per) > 1 else per[0]
+
+def grams(df: DataFrame, keep: list[Column], tokens: Column, orders: list[int]) -> DataFrame:
+    """``keep`` and (ord, ctx, tok) of all n-grams of the orders, from one pass. N-grams with a null token don't count."""
+    rows = positions(df, keep, tokens, max(orders))
+    names = rows.columns[: len(keep)]
+    each = F.array(*[F.struct(F.lit(k).alias("ord"), context(k).alias("ctx"), F.when(_whole(k), F.col(f"w{k}")).alias("tok")) for k in orders])
+    return rows.select(*names, F.explode(each).alias("g")).select(*names, "g.ord", "g.ctx", "g.tok").where("tok is not null")
+
+
+def _whole(k: int) -> Column:
+    ok = F.col("w1").isNotNull()
+    for j in range(2, k + 1):
+        ok = ok & F.col(f"w{j}").isNotNull()
+    return ok
 
 
 def check_tokens(df: DataFrame, column: str) -> None:
@@ -52,9 +66,14 @@ def check_tokens(df: DataFrame, column: str) -> None:
 def conditional_counts(df: DataFrame, n: int, model: str = "model", tokens: str = "tokens", pad_left: bool = False, pad_right: bool = False) -> DataFrame:
     """(model, ord, ctx, tok, c) for all orders from 1 to n."""
     check_tokens(df, tokens)
-    t = F.col(tokens).cast("array<string>")
-    grams = df.select(F.col(model).alias("model"), F.explode(all_windows(t, n, pad_left, pad_right)).alias("g"))
-    return grams.groupBy("model", "g.ord", "g.ctx", "g.tok").agg(F.count(F.lit(1)).alias("c"))
+    t, keep = F.col(tokens).cast("array<string>"), [F.col(model).alias("model")]
+    if pad_left or pad_right:  # each order has its own pads
+        rows = grams(df, keep, padded(t, 1, pad_left, pad_right), [1])
+        for k in range(2, n + 1):
+            rows = rows.unionByName(grams(df, keep, padded(t, k, pad_left, pad_right), [k]))
+    else:
+        rows = grams(df, keep, t, list(range(1, n + 1)))
+    return rows.groupBy("model", "ord", "ctx", "tok").agg(F.count(F.lit(1)).alias("c"))
 
 
 def add_counts(*counts: DataFrame) -> DataFrame:
