@@ -69,7 +69,9 @@ def build(counts: DataFrame, n: int, gamma: float, keep: bool = True) -> Model:
     shared folder, since several branches read them."""
     if gamma < 0:
         raise ValueError("gamma must not be negative")
-    bins = counts.groupBy("model", "ord").agg(F.countDistinct("tok").alias("b"))
+    bins = counts.groupBy("model", "ord", "tok").agg(F.lit(1)).groupBy("model", "ord").agg(F.count("tok").alias("b"))
+    if keep:
+        bins = stored(bins, "lm-bins")
     context = Window.partitionBy("model", "ord", "ctx")
     sized = counts.withColumn("total", F.sum("c").over(context)).join(F.broadcast(bins) if _few(bins) else bins, ["model", "ord"])
     probs = sized.select("model", "ord", "ctx", "tok", "c", ((F.col("c") + gamma) / (F.col("total") + gamma * F.col("b"))).alias("p"))
