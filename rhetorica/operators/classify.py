@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rhetorica.operators import lm
+from rhetorica.sources.tables import sent_if_few
 
 
 def priors(df: DataFrame, label: str = "label") -> DataFrame:
@@ -31,15 +32,13 @@ def logsumexp2(values: Column, over) -> Column:
 
 def argmax(scores: DataFrame) -> DataFrame:
     """(doc, label): the class with the highest likelihood, priors ignored; no shuffle beyond one aggregation."""
-    best = F.max_by("model", F.struct((-F.round("neg_log2", 9)).alias("s"), F.col("rank")))
-    w = Window.orderBy(F.desc("model"))
-    rank = scores.select("model").distinct().withColumn("rank", F.row_number().over(w))
-    return scores.join(F.broadcast(rank), "model").groupBy("doc").agg(best.alias("label"))
+    best = F.min(F.struct(F.round("neg_log2", 9).alias("s"), F.col("model")))
+    return scores.groupBy("doc").agg(best.alias("b")).select("doc", F.col("b.model").alias("label"))
 
 
 def log_proba(scores: DataFrame, prior: DataFrame) -> DataFrame:
     """(doc, model, log2_joint): log2 of likelihood times prior, unnormalised."""
-    return scores.join(F.broadcast(prior.select("model", "log2_prior")), "model").select("doc", "model", (F.col("log2_prior") - F.col("neg_log2")).alias("log2_joint"))
+    return scores.join(sent_if_few(prior.select("model", "log2_prior")), "model").select("doc", "model", (F.col("log2_prior") - F.col("neg_log2")).alias("log2_joint"))
 
 
 def joint_proba(scores: DataFrame, prior: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rhetorica.operators import ngrams
+from rhetorica.sources.tables import sent_if_few
 
 
 def length_stats(df: DataFrame, by: str, tokens: str = "tokens") -> DataFrame:
@@ -57,9 +58,10 @@ def naive_bayes_scores(bags: DataFrame, grams: DataFrame, classes: DataFrame) ->
     known = grams.select("gram").distinct()
     seen = bags.join(known, "gram", "left_semi")
     sizes = bags.select("doc").distinct().join(seen.groupBy("doc").agg(F.sum("n").alias("k")), "doc", "left").select("doc", F.coalesce("k", F.lit(0)).alias("k"))
-    delta = grams.join(F.broadcast(classes), "label").select("label", "gram", (F.col("log_p") - F.col("log_unseen")).alias("d"))
+    classes = sent_if_few(classes)
+    delta = grams.join(classes, "label").select("label", "gram", (F.col("log_p") - F.col("log_unseen")).alias("d"))
     gained = seen.join(delta, "gram").groupBy("doc", "label").agg(F.sum(F.col("n") * F.col("d")).alias("g"))
-    return sizes.crossJoin(F.broadcast(classes)).join(gained, ["doc", "label"], "left").select(
+    return sizes.crossJoin(classes).join(gained, ["doc", "label"], "left").select(
         "doc", "label", (F.col("log_prior") + F.col("k") * F.col("log_unseen") + F.coalesce("g", F.lit(0.0))).alias("log_joint")
     )
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rhetorica.operators import ngrams
-from rhetorica.sources.tables import stored
+from rhetorica.sources.tables import sent_if_few, stored
 
 TINY = 1e-300  # stands for a backoff weight of 0, so that logarithms stay finite
 FULL = 1e-12
@@ -73,7 +73,7 @@ def build(counts: DataFrame, n: int, gamma: float, keep: bool = True) -> Model:
     if keep:
         bins = stored(bins, "lm-bins")
     context = Window.partitionBy("model", "ord", "ctx")
-    sized = counts.withColumn("total", F.sum("c").over(context)).join(F.broadcast(bins) if _few(bins) else bins, ["model", "ord"])
+    sized = counts.withColumn("total", F.sum("c").over(context)).join(sent_if_few(bins), ["model", "ord"])
     probs = sized.select("model", "ord", "ctx", "tok", "c", ((F.col("c") + gamma) / (F.col("total") + gamma * F.col("b"))).alias("p"))
     if keep:
         probs = stored(probs, "lm-probs")
@@ -87,12 +87,7 @@ def build(counts: DataFrame, n: int, gamma: float, keep: bool = True) -> Model:
     alphas = backed.groupBy("model", "ord", "ctx").agg(F.max("alpha").alias("alpha"))
     tokens = counts.where("ord = 1").groupBy("model").agg(F.sum("c").alias("total"))
     base = tokens.join(bins.where("ord = 1").select("model", "b"), "model").select("model", (gamma / (F.col("total") + gamma * F.col("b"))).alias("oov"))
-    return Model(n, gamma, probs, alphas, bins, base, backed)
-
-
-def _few(df: DataFrame, most: int = 10_000) -> bool:
-    """Whether a table is small enough to be sent to all tasks; counted, not guessed."""
-    return len(df.take(most + 1)) <= most
+    return Model(n, gamma, probs, alphas, bins, stored(base, "lm-base") if keep else base, backed)
 
 
 def train(df: DataFrame, n: int, gamma: float, model: str = "model", tokens: str = "tokens", pad_left: bool = False, pad_right: bool = False) -> Model:
@@ -104,8 +99,7 @@ def corrections(m: Model) -> DataFrame:
     """(model, key, delta): what a seen unigram, context or n-gram adds to the log2 score."""
     log = lambda c: F.log2(F.greatest(c, F.lit(TINY)))
     grams = m.probs.where("ord = 1").select("model", "tok", F.log2("p").alias("lp"))
-    base = F.broadcast(m.base) if _few(m.base) else m.base
-    unigrams = grams.join(base, "model").select("model", gram_key(F.lit(1), F.lit(""), F.col("tok")).alias("key"), (F.col("lp") - F.log2("oov")).alias("delta"))
+    unigrams = grams.join(sent_if_few(m.base), "model").select("model", gram_key(F.lit(1), F.lit(""), F.col("tok")).alias("key"), (F.col("lp") - F.log2("oov")).alias("delta"))
     contexts = m.alphas.select("model", context_key(F.col("ord"), F.col("ctx")).alias("key"), log(F.col("alpha")).alias("delta"))
     longer = m.backed.select("model", gram_key(F.col("ord"), F.col("ctx"), F.col("tok")).alias("key"), (F.log2("p") - log(F.col("alpha")) - F.log2("p_low")).alias("delta"))
     return unigrams.unionByName(contexts).unionByName(longer)
@@ -146,8 +140,7 @@ def score(df: DataFrame, m: Model, doc: str = "doc", tokens: str = "tokens", pad
     docs = df.select(F.col(doc).alias("doc"), F.greatest(F.coalesce(size, F.lit(0)) - (m.n - 1), F.lit(0)).alias("grams")).groupBy("doc").agg(F.sum("grams").alias("grams"))
     keys = text_keys(df, m.n, doc, tokens, pad_left, pad_right)
     gained = keys.join(corrections(m), "key").groupBy("doc", "model").agg(F.sum(F.col("times") * F.col("delta")).alias("gained"))
-    models = F.broadcast(m.base) if _few(m.base) else m.base
-    every = docs.crossJoin(models)  # the result itself has a row for each text and model
+    every = docs.crossJoin(sent_if_few(m.base))  # the result itself has a row for each text and model
     return every.join(gained, ["doc", "model"], "left").select("doc", "model", "grams", (-(F.col("grams") * F.log2("oov") + F.coalesce("gained", F.lit(0.0)))).alias("neg_log2"))
 
 

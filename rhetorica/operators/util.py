@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rhetorica.sources.tables import sent_if_few, stored
+
 
 def sample(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """Exactly k rows (or all), those with the smallest md5 of seed and key: the same on every run."""
@@ -44,13 +46,11 @@ def token_dictionary(df: DataFrame, pos: list[str], token: str) -> DataFrame:
     partition sizes give each partition its offset, so no task gets the whole vocabulary.
     """
     first = df.where(F.col(token).isNotNull()).groupBy(F.col(token).alias("token")).agg(F.min(F.struct(*pos)).alias("at"))
-    from rhetorica.sources.tables import stored
-
     ordered = stored(first.orderBy("at").withColumn("part", F.spark_partition_id()), "vocabulary")
     sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1
-    return ordered.withColumn("within", within).join(F.broadcast(before.select("part", "before")), "part").select("token", (F.col("before") + F.col("within")).alias("id"))
+    return ordered.withColumn("within", within).join(sent_if_few(before.select("part", "before"), 100_000), "part").select("token", (F.col("before") + F.col("within")).alias("id"))
 
 
 def encode(df: DataFrame, vocab: DataFrame, token: str) -> DataFrame:

@@ -50,3 +50,10 @@ def small_rows(df: DataFrame, limit: int, what: str) -> list:
     if len(rows) > limit:
         raise ValueError(f"{what}: more than {limit} rows; it is meant to be a small table")
     return rows
+
+
+def sent_if_few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, which are counted first; else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if len(df.take(most + 1)) <= most else df
