@@ -389,6 +389,8 @@ def test_leaks(spark):
     assert leakage.leaks(df.limit(0), it).count() == 0 and leakage.leaks(df, it.limit(0)).count() == 0
     with pytest.raises(ValueError):
         leakage.leaks(df, it, limit=3)
+    blocks = leakage.item_blocks(items, 150)
+    assert len(blocks) > 3 and [x for b in blocks for x in b] == items and leakage.item_blocks([]) == []
 
 
 # Abuse -----------------------------------------------------------------------------------------
