@@ -33,6 +33,7 @@ WITNESS = -0.3  # least score of the worst sentence of a marked document for it
 SHORTEST = 16  # shorter texts are normed like texts of so many subsequences, so that fragments don't weigh more
 DECAY = 0.7  # weight of each further character of a gap
 BITS = 20  # subsequences are hashed to 2 ** BITS places
+SHARED = 32  # landmarks that share a subsequence, from which it is treated as a column of a dense matrix
 POSITIVE = 2.0  # weight of an abusive sentence against a harmless one that occurs once
 LANDMARKS = 600
 MOST_DOCUMENTS = 12_000  # labelled documents used for training, at most; the rest only by chance of their hash
@@ -112,21 +113,31 @@ class Model:
         n = len(cps) - REACH
         per = np.zeros(n, np.float32)
         prefix: dict[tuple, np.ndarray] = {}
+        ends = start + lengths
+        # Where a shape would reach over its text's end: the last characters of each text and the gap behind it.
+        over = {last: (ends[:, None] + np.arange(-last, REACH)[None, :]).ravel() for last in {s[-1] for s in SHAPES}}
+        over = {last: at[(at >= 0) & (at < n)] for last, at in over.items()}
         for shape in SHAPES:
-            h = np.zeros(n, np.uint32)
+            h = None
             for k, off in enumerate(shape):  # shapes that begin alike share the hash so far
                 key = shape[: k + 1]
                 if key in prefix:
                     h = prefix[key]
                     continue
-                h = h + cps[off : off + n] * _ODD[k]
-                h ^= h >> np.uint32(15)
+                new = cps[off : off + n] * _ODD[k]
+                if h is not None:
+                    new += h
+                new ^= new >> np.uint32(15)
+                h = new
                 if k < ORDER - 1:
                     prefix[key] = h
-            value = self.weights[(h * _ODD[4]) >> np.uint32(32 - BITS)]
-            value[cps[shape[-1] : shape[-1] + n] == 0] = 0
-            per += value * np.float32(DECAY ** (shape[-1] + 1 - ORDER))
-        per[cps[:n] == 0] = 0
+            h *= _ODD[4]
+            h >>= np.uint32(32 - BITS)
+            value = self.weights.take(h)
+            value[over[shape[-1]]] = 0
+            if shape[-1] + 1 > ORDER:
+                value *= np.float32(DECAY ** (shape[-1] + 1 - ORDER))
+            per += value
         total = np.add.reduceat(np.r_[per, np.zeros(REACH, np.float32)].astype(np.float64), start)
         return total / self_weight(lengths) + self.bias
 
@@ -141,38 +152,52 @@ def kernel(texts: list[str], landmarks: list[str], onto: np.ndarray | None = Non
     lw = np.add.reduceat(lw, first) if len(first) else lw
     lp, lr = key[first] // len(landmarks), key[first] % len(landmarks)
     count = np.bincount(lp, minlength=1 << BITS).astype(np.int32)
+    # Places that many landmarks share go through a dense product, the others are looked up one by one.
+    heavy = np.flatnonzero(count >= SHARED)
+    column = np.full(1 << BITS, -1, np.int32)
+    column[heavy] = np.arange(len(heavy))
+    dense = np.zeros((len(heavy), len(landmarks)), np.float32)
+    is_heavy = column[lp] >= 0
+    dense[column[lp[is_heavy]], lr[is_heavy]] = lw[is_heavy]
+    lp, lr, lw = lp[~is_heavy], lr[~is_heavy], lw[~is_heavy]
+    count[heavy] = 0
     begin = (np.cumsum(count) - count).astype(np.int32)
     norm = lambda ts: self_weight(np.array([len(t) for t in ts]))
     own = norm(landmarks)[None, :]
     out = np.zeros((len(texts), len(landmarks) if onto is None else onto.shape[1]), np.float32)
-    for lo in range(0, len(texts), 16):
-        part = texts[lo : lo + 16]
+    for lo in range(0, len(texts), 64):
+        part = texts[lo : lo + 64]
         p, w, r = features(part)
+        c = column[p]
+        at = c >= 0
+        x = np.bincount(r[at] * len(heavy) + c[at], weights=w[at], minlength=len(part) * len(heavy)).astype(np.float32).reshape(len(part), len(heavy))
         keep = count[p] > 0
         p, w, r = p[keep], w[keep], r[keep]
         n = count[p]
         at = np.repeat(begin[p] - np.cumsum(n) + n, n) + np.arange(n.sum())
         flat = np.bincount(np.repeat(r, n) * len(landmarks) + lr[at], weights=np.repeat(w, n) * lw[at], minlength=len(part) * len(landmarks))
-        block = flat.reshape(len(part), len(landmarks)) / norm(part)[:, None] / own
-        out[lo : lo + 16] = block if onto is None else block @ onto
+        block = (flat.reshape(len(part), len(landmarks)) + x @ dense) / norm(part)[:, None] / own
+        out[lo : lo + 64] = block if onto is None else block @ onto
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM by Newton steps; y is -1 or 1. Rows are used in blocks, without copies of the whole."""
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, start: tuple[np.ndarray, float] | None = None, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear SVM by Newton steps, from ``start`` if given; y is -1 or 1. Rows are used
+    in blocks, without copies of the whole."""
     d = x.shape[1] + 1
-    w = np.zeros(d)
+    w = np.zeros(d) if start is None else np.r_[start[0], start[1]]
     for _ in range(rounds):
         h, g = np.eye(d), np.zeros(d)
         h[-1, -1] = 1e-3
-        for lo in range(0, len(x), 2_048):
-            b, t = np.c_[x[lo : lo + 2_048], np.ones(len(x[lo : lo + 2_048]))], y[lo : lo + 2_048]
-            on = t * (b @ w) < 1
-            b, t, v = b[on], t[on], weight[lo : lo + 2_048][on]
-            h += 2 * c * b.T @ (b * v[:, None])
-            g += 2 * c * b.T @ (v * t)
+        for lo in range(0, len(x), 4_096):
+            b, t, v = x[lo : lo + 4_096], y[lo : lo + 4_096], weight[lo : lo + 4_096]
+            on = t * (b @ w[:-1].astype(np.float32) + w[-1]) < 1
+            if on.any():
+                b = np.sqrt(2 * c * v[on]).astype(np.float32)[:, None] * np.c_[b[on], np.ones(int(on.sum()), np.float32)]
+                h += b.T @ b
+                g += b.T @ (np.sqrt(2 * c * v[on]) * t[on]).astype(np.float32)
         new = np.linalg.solve(h, g)
-        done = np.abs(new - w).max() < 1e-6
+        done = np.abs(new - w).max() < 1e-4
         w = new
         if done:
             break
@@ -228,7 +253,7 @@ def train(docs: list[tuple[str, float]], landmarks: int = LANDMARKS, c: float =
         chosen = new
         ok = xc @ w + bias < 0.5  # nor are unmarked documents free of cases
         x = np.r_[xs[chosen], xc[ok]]
-        w, bias = fit_svm(x, np.r_[np.ones(len(chosen)), -np.ones(int(ok.sum()))], np.r_[np.full(len(chosen), POSITIVE), often[ok]], c)
+        w, bias = fit_svm(x, np.r_[np.ones(len(chosen)), -np.ones(int(ok.sum()))], np.r_[np.full(len(chosen), POSITIVE), often[ok]], c, (w, bias))
     beta = to @ w
     p, wt, r = features(marks)
     norm = self_weight(np.array([len(m) for m in marks]))
