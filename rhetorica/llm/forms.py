@@ -156,6 +156,9 @@ class Folder:
                 a.add_word(s, (len(s), to))
             a.make_automaton()
             self.automata[script] = a
+        self._weights: Counter = Counter()
+        for c, n in self.counts.items():
+            self._weights[script_of(c)] += n
         self._words: dict[str, str] = {}
         self._drop: dict[int, int | None] = _Invisible()
 
@@ -191,7 +194,7 @@ class Folder:
         return out
 
     def _weight(self, script: str) -> int:
-        return sum(n for c, n in self.counts.items() if script_of(c) == script) if self.counts else int(script == "LATIN")
+        return self._weights[script] if self.counts else int(script == "LATIN")
 
     def __call__(self, text: str | None) -> str | None:
         if text is None or text.isascii():
