@@ -121,3 +121,13 @@ class NgramClassifier:
 
     def predict_proba(self, df: DataFrame, doc: str = "doc", tokens: str = "tokens") -> DataFrame:
         return joint_proba(self.scores(df, doc, tokens), self.prior_)
+
+
+def classify_request(model: lm.Model, text: str, pipeline, spark) -> str | None:
+    """The class that one text, as a request brings it, is most likely from; None if it is empty after cleaning.
+
+    pipeline: a ``functions.text.Pipeline`` with a tokenizer. Priors are ignored.
+    """
+    df = pipeline.apply(spark.createDataFrame([(0, text)], "doc int, text string"), "text", "tokens")
+    best = argmax(lm.score(df, model)).first()
+    return best.label if best else None

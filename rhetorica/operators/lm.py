@@ -207,3 +207,8 @@ def generate(m: Model, model: str, words: int, context: list[str] | None = None,
         else:
             out.append(".")
     return out
+
+
+def choose_word(m: Model, model: str, context: list[str] | None = None, seed: int = 0) -> str:
+    """One word drawn after the context."""
+    return generate(m, model, 1, context, seed)[-1]

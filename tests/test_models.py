@@ -96,6 +96,16 @@ def test_classifiers(spark):
         classify.NgramClassifier(2, binary=True).fit(train.unionByName(train.withColumn("label", F.lit("C"))))
 
 
+def test_request(spark):
+    from rhetorica.functions import text, tokenizers
+
+    m = classify.NgramClassifier(2, 0.1).fit(labelled(spark)).model_
+    pipe = text.request_preset(tokenizers.lower_words)
+    assert classify.classify_request(m, "<p>one two one</p>", pipe, spark) == "B"
+    assert classify.classify_request(m, "", pipe, spark) is None
+    assert lm.choose_word(m, "B", ["one"], 1) in ("two", "three")
+
+
 def test_integer_tokens(spark):
     train = spark.createDataFrame([("A", [1, 2, 1]), ("B", [3, 4, 3])], "label string, tokens array<bigint>")
     got = classify.NgramClassifier(2, 0.1).fit(train).predict(spark.createDataFrame([(1, [1, 2]), (2, [3, 4])], "doc int, tokens array<bigint>"))

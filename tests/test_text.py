@@ -106,6 +106,16 @@ def test_annotated(spark):
     assert lemmas(spark.createDataFrame([], SCHEMA)) == []
 
 
+def test_sn_tokens(spark):
+    t = tokens_of(spark)
+    grams = lambda **kw: {r.gram for r in annotated.sn_tokens(t, **kw).collect()}
+    assert {"_the_york_vote", "_new_york", "_vote"} <= grams()
+    assert {"_the_new york", "_new york_vote"} <= grams(merge="ent")
+    assert "_DT_NNP_VBD" in grams(attribute="tag")
+    assert "_nsubj" in grams(attribute="dep") and not any("ROOT" in g for g in grams(attribute="dep"))
+    assert "new_york_voted".replace("voted", "vote") in grams(spanning=True)
+
+
 def test_attribute_filter(spark):
     df = spark.createDataFrame([([("a", False, None), (",", True, False)],)], "t array<struct<text:string,is_punct:boolean,like_num:boolean>>")
     got = df.select(tokenizers.without_attributes(F.col("t"), ["is_punct", "like_num"]).alias("x")).first().x
