@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rhetorica.operators import ngrams
-from rhetorica.sources.tables import sent_if_few
+from rhetorica.sources.tables import sent_if_few, stored
 
 
 def length_stats(df: DataFrame, by: str, tokens: str = "tokens") -> DataFrame:
@@ -19,12 +19,12 @@ def length_stats(df: DataFrame, by: str, tokens: str = "tokens") -> DataFrame:
 
 def word_totals(df: DataFrame, by: str, tokens: str = "tokens") -> DataFrame:
     """(by, words, types)."""
-    return df.select(by, F.explode(tokens).alias("t")).groupBy(by).agg(F.count("t").alias("words"), F.countDistinct("t").alias("types"))
+    return df.select(by, F.explode_outer(tokens).alias("t")).where("t is not null").groupBy(by).agg(F.count("t").alias("words"), F.countDistinct("t").alias("types"))
 
 
 def word_counts(df: DataFrame, by: str, tokens: str = "tokens", stop: DataFrame | None = None) -> DataFrame:
     """(by, token, n); ``stop`` is a table of tokens to leave out."""
-    rows = df.select(by, F.explode(tokens).alias("token"))
+    rows = df.select(by, F.explode_outer(tokens).alias("token")).where("token is not null")
     if stop is not None:
         rows = rows.join(stop.select("token"), "token", "left_anti")
     return rows.groupBy(by, "token").agg(F.count(F.lit(1)).alias("n"))
@@ -33,7 +33,8 @@ def word_counts(df: DataFrame, by: str, tokens: str = "tokens", stop: DataFrame
 def vectorize(df: DataFrame, doc: str, tokens: str = "tokens", least: int = 1, most: int = 1, stop: Sequence[str] = ()) -> DataFrame:
     """(doc, gram, n): counts of word n-grams from ``least`` to ``most`` words, joined by spaces; stop words leave before."""
     t = F.filter(F.col(tokens), lambda x: ~x.isin(list(stop))) if stop else F.col(tokens)
-    rows = ngrams.grams(df, [F.col(doc).alias("doc")], t, list(range(least, most + 1)))
+    df = df.select(F.col(doc).alias("doc"), t.alias("_t"))
+    rows = ngrams.grams(df, [F.col("doc")], F.col("_t"), list(range(least, most + 1)))
     gram = F.when(F.col("ord") == 1, F.col("tok")).otherwise(F.concat(F.translate("ctx", ngrams.SEP, " "), F.lit(" "), "tok"))
     return rows.select("doc", gram.alias("gram")).groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("n"))
 
@@ -41,13 +42,13 @@ def vectorize(df: DataFrame, doc: str, tokens: str = "tokens", least: int = 1, m
 def naive_bayes(bags: DataFrame, labels: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Multinomial naive Bayes from (doc, gram, n) and (doc, label): the tables (label, gram, log_p)
     and (label, log_prior, log_unseen); natural logarithms."""
-    per = bags.join(labels, "doc").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    per = stored(bags.join(labels, "doc").groupBy("label", "gram").agg(F.sum("n").alias("n")), "label-grams")  # read by several branches
     size = per.select("gram").distinct().agg(F.count(F.lit(1)).alias("v"))
     totals = per.groupBy("label").agg(F.sum("n").alias("total")).crossJoin(F.broadcast(size))  # size is one row
     grams = per.join(totals, "label").select("label", "gram", F.log((F.col("n") + alpha) / (F.col("total") + alpha * F.col("v"))).alias("log_p"))
     n = labels.groupBy("label").agg(F.count(F.lit(1)).alias("docs")).withColumn("all", F.sum("docs").over(Window.partitionBy(F.lit(0))))
     classes = totals.join(n, "label").select("label", F.log(F.col("docs") / F.col("all")).alias("log_prior"), F.log(F.lit(alpha) / (F.col("total") + alpha * F.col("v"))).alias("log_unseen"))
-    return grams, classes
+    return stored(grams, "nb-grams"), stored(classes, "nb-classes")
 
 
 def naive_bayes_scores(bags: DataFrame, grams: DataFrame, classes: DataFrame) -> DataFrame:

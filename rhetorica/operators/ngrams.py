@@ -28,9 +28,10 @@ def positions(df: DataFrame, keep: list[Column], tokens: Column, n: int) -> Data
 
     Shifted copies of the array are zipped and exploded, which stays in generated code.
     """
-    size = F.size(tokens)
+    size = F.coalesce(F.size(tokens), F.lit(0))
     shifted = [tokens if k == 1 else F.slice(tokens, k, F.greatest(size, F.lit(0))) for k in range(1, n + 1)]
-    rows = df.where(size > 0).select(*keep, F.explode(F.arrays_zip(*[s.alias(f"w{k}") for k, s in enumerate(shifted, 1)])).alias("_w"))
+    # The outer form keeps Spark from filtering on the array first, which would evaluate a tokenizer twice.
+    rows = df.select(*keep, F.explode_outer(F.arrays_zip(*[s.alias(f"w{k}") for k, s in enumerate(shifted, 1)])).alias("_w"))
     names = rows.columns[: len(keep)]
     fields = [f.name for f in rows.schema["_w"].dataType.fields]
     return rows.select(*names, *[F.col("_w").getField(f).alias(f"w{k}") for k, f in enumerate(fields, 1)])

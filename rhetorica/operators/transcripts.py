@@ -40,7 +40,7 @@ def utterances(transcripts: DataFrame, only: str | Sequence[str] | None = None)
     Null and unlabelled texts have no utterances.
     """
     parts = F.split(F.regexp_replace("raw", f"(?md)^({LABEL})", f"{_CUT}$1"), _CUT)
-    rows = transcripts.select("file_id", F.posexplode(parts).alias("utt_id", "part")).where("utt_id > 0")
+    rows = transcripts.select("file_id", F.posexplode_outer(parts).alias("utt_id", "part")).where("utt_id > 0")
     label = F.regexp_extract("part", f"^{LABEL}", 0)
     out = rows.select("file_id", "utt_id", label.alias("label"), F.substring("part", F.length(label) + 1, F.length("part")).alias("text"))
     out = out.select("file_id", "utt_id", "label", clean_label(F.col("label")).alias("speaker"), "text")
@@ -70,12 +70,12 @@ def matching(utts: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def words(utts: DataFrame, tokenizer=tokenizers.word_punct_tokens) -> DataFrame:
     """(file_id, utt_id, speaker, pos, token) of each utterance."""
-    return utts.select("file_id", "utt_id", "speaker", F.posexplode(tokenizer(F.col("text"))).alias("pos", "token"))
+    return utts.select("file_id", "utt_id", "speaker", F.posexplode_outer(tokenizer(F.col("text"))).alias("pos", "token")).where("token is not null")
 
 
 def sentences(utts: DataFrame, splitter=tokenizers.rule_sentences, tokenizer=tokenizers.word_punct_tokens) -> DataFrame:
     """(file_id, utt_id, speaker, sent_id, tokens), sentences without tokens left out."""
-    rows = utts.select("file_id", "utt_id", "speaker", F.posexplode(splitter(F.col("text"))).alias("sent_id", "sent"))
+    rows = utts.select("file_id", "utt_id", "speaker", F.posexplode_outer(splitter(F.col("text"))).alias("sent_id", "sent")).where("sent is not null")
     return rows.select("file_id", "utt_id", "speaker", "sent_id", tokenizer(F.col("sent")).alias("tokens")).where(F.size("tokens") > 0)
 
 
@@ -90,5 +90,5 @@ def grouped_text(utts: DataFrame) -> DataFrame:
 
 def grouped_sentences(utts: DataFrame, splitter=tokenizers.rule_sentences, tokenizer=tokenizers.word_punct_tokens) -> DataFrame:
     """(file_id, speaker, sent_id, tokens); sentences may cross interruptions."""
-    rows = grouped_text(utts).select("file_id", "speaker", F.posexplode(splitter(F.col("text"))).alias("sent_id", "sent"))
+    rows = grouped_text(utts).select("file_id", "speaker", F.posexplode_outer(splitter(F.col("text"))).alias("sent_id", "sent")).where("sent is not null")
     return rows.select("file_id", "speaker", "sent_id", tokenizer(F.col("sent")).alias("tokens")).where(F.size("tokens") > 0)

@@ -193,17 +193,17 @@ def p_25_notebook_preset(spark, d):
 
 @query(rf"WITH {SENTS_SQL}, a AS (SELECT row_id, list_filter(regexp_split_to_array(sent, '\s+'), lambda x: x <> '') AS t FROM sents) SELECT row_id, unnest(range(len(t)))::INT AS pos, unnest(t) AS token FROM a")
 def t01_white_space(spark, d):
-    return sentences(spark, d).select("row_id", F.posexplode(tokenizers.white_space_tokens(F.col("sent"))).alias("pos", "token"))
+    return sentences(spark, d).select("row_id", F.posexplode_outer(tokenizers.white_space_tokens(F.col("sent"))).alias("pos", "token")).where("token is not null")
 
 
 @query(f"WITH {SENTS_SQL}, a AS (SELECT row_id, {PUNCT_SQL.format('sent')} AS t FROM sents) SELECT row_id, unnest(range(len(t)))::INT AS pos, unnest(t) AS token FROM a")
 def t02_word_punct(spark, d):
-    return sentences(spark, d).select("row_id", F.posexplode(tokenizers.word_punct_tokens(F.col("sent"))).alias("pos", "token"))
+    return sentences(spark, d).select("row_id", F.posexplode_outer(tokenizers.word_punct_tokens(F.col("sent"))).alias("pos", "token")).where("token is not null")
 
 
 @query(f"WITH {SENTS_SQL}, a AS (SELECT row_id, {_RULE.format('sent')} AS p FROM sents) SELECT row_id, unnest(range(len(p)))::INT AS sent_id, replace(unnest(p), chr(57344), '.') AS part FROM a")
 def t03_rule_sentences(spark, d):
-    return sentences(spark, d).select("row_id", F.posexplode(tokenizers.rule_sentences(F.col("sent"))).alias("sent_id", "part"))
+    return sentences(spark, d).select("row_id", F.posexplode_outer(tokenizers.rule_sentences(F.col("sent"))).alias("sent_id", "part")).where("part is not null")
 
 
 @query(f"WITH {SENTS_SQL} SELECT row_id, array_to_string(list_concat(['<S>'], {PUNCT_SQL.format('lower(sent)')}, ['</S>']), ' ') AS tokens FROM sents")

@@ -218,10 +218,10 @@ SELECT doc, speaker AS label, round(lj, 4) AS log_joint FROM s"""
 )
 def e07_naive_bayes(spark, d):
     train = spoken_words(spark, d)
-    bags = stored(evaluate.vectorize(train, "row_id"), "bags")
-    grams, classes = evaluate.naive_bayes(bags, train.where(F.size("tokens") >= 0).select(F.col("row_id").alias("doc"), F.col("speaker").alias("label")), 0.075)
+    bags = evaluate.vectorize(train, "row_id")
+    grams, classes = evaluate.naive_bayes(bags, train.select(F.col("row_id").alias("doc"), F.col("speaker").alias("label")), 0.075)
     known = evaluate.vectorize(stretches(spark, d), "doc")
-    scores = evaluate.naive_bayes_scores(known.join(grams.select("gram").distinct(), "gram", "left_semi"), stored(grams, "nb-grams"), classes)
+    scores = evaluate.naive_bayes_scores(known.join(grams.select("gram").distinct(), "gram", "left_semi"), grams, classes)
     return scores.select("doc", "label", F.round("log_joint", 4).alias("log_joint"))
 
 
