@@ -34,6 +34,11 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return processed_counts(table(spark, d, "processed"))
 
 
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences, records and mark of every stored number of word types."""
+    return p2_counts(spark, d).where("field = 'num_word_types'").select(F.col("term").alias("value"), "occurrences", "records", F.coalesce("mark", F.lit("")).alias("mark"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_counts(spark, d).where("mark is not null").select("field", "term", "mark")
 
@@ -155,4 +160,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the one query that needs neither consistent forms nor an iterative method; the others are
+    compared with brute-force versions in the tests."""
+    return {
+        "p2_values": """WITH one AS (SELECT proc_id, arg_max(num_word_types, loaded_at) AS v FROM processed WHERE proc_id IS NOT NULL GROUP BY proc_id),
+n AS (SELECT count(*) AS n FROM one), c AS (SELECT v, count(*) AS k FROM one WHERE v IS NOT NULL GROUP BY v)
+SELECT v::VARCHAR AS value, k AS occurrences, k AS records, CASE WHEN k < 3 THEN 'rare' WHEN k > 0.04 * (SELECT n FROM n) THEN 'common' ELSE '' END AS mark FROM c"""
+    }
