@@ -47,6 +47,9 @@ CLOSERS = set("\"'”’“»›)]}」』）】》")
 PAIRS = {")": "(", "]": "[", "}": "{", "」": "「", "』": "『", "）": "（", "】": "【", "》": "《", "»": "«", "›": "‹"}
 STOPS = set(".!?…。！？．｡।॥؟۔")
 WIDE_STOPS = set("。！？｡")
+# A text that doesn't match has one sentence at most: a stop before a letter or digit with other characters
+# between, before a capital or a character beyond ASCII; a wide stop; Thai.
+SEVERAL = r"[.!?…．][^\p{L}\p{N}]+[\p{L}\p{N}]|[.!?…．](?:\p{Lu}|[^\x00-\x7F])|[。！？｡।॥؟۔]|[\u0E00-\u0E7F]"
 MOST_SPANS = 48  # possible ends that a span may reach over; beyond that a closing mark always ends one
 
 _THAI = re.compile(r"[฀-๿]")
@@ -342,7 +345,7 @@ def text_ends(df: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame
     Repeated rows of an id give each end once. Texts that hold no closing mark before another
     character, nor Thai, have one sentence at most and aren't sent to Python.
     """
-    several = F.col(text_col).rlike(r"[.!?…．]\P{L}*\s|[。！？｡]|[।॥؟۔]|[!?][^\x00-\x7F]|[฀-๿]|[.!?…．][^\x00-\x7F]|[.!?…．][\"')\]]*[\"'(\[]*\p{L}")
+    several = F.col(text_col).rlike(SEVERAL)
     return _rows(df.where(several), id_col, text_col, split_text, kind)
 
 
