@@ -46,17 +46,16 @@ def signature(slot: np.ndarray, k: int, universe: int = UNIVERSE) -> np.ndarray:
     """The k coordinates of a set of slots: coordinate i is the least value of the second
     permutation, shifted by i, over the slots after the first permutation."""
     first, second = permutations(universe)
-    at = first[slot]
-    return second[at[:, None] + np.arange(k)[None, :]].min(axis=0)
+    return np.lib.stride_tricks.sliding_window_view(second, k)[first[slot]].min(axis=0)
 
 
 def band_keys(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
-    """A 64-bit key for each band; the band's number is part of it."""
-    m = sig.reshape(bands, rows).astype(np.uint64)
+    """A 64-bit key for each band of each signature (the last axis); the band's number is part of it."""
+    m = sig.reshape(*sig.shape[:-1], bands, rows)
     with np.errstate(over="ignore"):
         h = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for j in range(rows):
-            h = (h ^ m[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ m[..., j].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(29)
     return h.view(np.int64)
 
@@ -92,9 +91,10 @@ def banded(sets: DataFrame, rows: int, bands: int) -> DataFrame:
 
     def build(batches: Iterable[pa.RecordBatch]):
         known: dict[str, int] = {}
-        first, _ = permutations(UNIVERSE)
+        first, second = permutations(UNIVERSE)
+        slices = np.lib.stride_tricks.sliding_window_view(second, k)
         for b in batches:
-            keys = np.empty((b.num_rows, bands), np.int64)
+            sig = np.empty((b.num_rows, k), np.int32)
             for r, w in enumerate(b.column("words").to_pylist()):
                 slot = []
                 for x in w.split(" "):
@@ -104,7 +104,8 @@ def banded(sets: DataFrame, rows: int, bands: int) -> DataFrame:
                         if len(known) < 500_000:
                             known[x] = s
                     slot.append(s)
-                keys[r] = band_keys(signature(np.array(slot, np.int64), k), rows, bands)
+                slices[first[slot]].min(axis=0, out=sig[r])
+            keys = band_keys(sig, rows, bands)
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array(keys.ravel()), "cls": pa.array(np.repeat(b.column("cls").to_numpy(), bands)), "n": pa.array(np.repeat(b.column("n").to_numpy(), bands), pa.int32()),
             })
