@@ -286,7 +286,7 @@ def distinct_texts(texts: Iterable[str]) -> list[str]:
 
 def labelled_texts(documents: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS) -> list[tuple[str, float]]:
     """Texts of at most ``most`` labelled documents, chosen by a hash of their id, with the share
-    of of reviewers that marked them. Null texts, null marks and texts of more than TRAIN_CHARS
+    of reviewers that marked them. Null texts, null marks and texts of more than TRAIN_CHARS
     characters are left out."""
     mark = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("m"))
     mark = mark.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most ``most`` rows of two numbers, so it can be broadcast

@@ -137,7 +137,7 @@ class Folder:
             n = unicodedata.normalize("NFKC", ch)
             if n != ch and n:
                 classes.join(ch, n)
-        self.members: dict[str, dict[str, str]] = {}  # stable member -> script -> representative
+        self.members: dict[str, dict[str, str]] = {}  # member -> script -> representative
         self.automata: dict[str, ahocorasick.Automaton] = {}
         rewrites: dict[str, dict[str, str]] = {}
         for group in classes.groups():
@@ -179,7 +179,6 @@ class Folder:
         out = w
         if len(scripts) > 1:
             fixed = Counter(script_of(c) for c in parts if script_of(c) and c not in self.members)
-            # without marks: an accented letter is held by the script of its base as soon as marks decompose
             options = sorted(scripts, key=lambda s: (-fixed[s], -scripts[s], -self._weight(s), s))
             target = options[0]
             auto = self.automata.get(target)
