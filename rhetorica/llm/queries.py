@@ -75,20 +75,21 @@ def p5_documents(spark: SparkSession, d: str) -> DataFrame:
     return text_ends(table(spark, d, "documents"), "doc_id", "text", "documents")
 
 
-def _p6(spark: SparkSession, d: str):
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of English sentences of at least 22 different words."""
     from rhetorica.llm.neardup import near_duplicates
 
     rows = table(spark, d, "clean_sents").where("lang = 'en'")
-    return near_duplicates(rows, "row_id", "sent", threshold=0.78, least_words=22)
-
-
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p6(spark, d).pairs().select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
+    links = near_duplicates(rows, "row_id", "sent", threshold=0.78, least_words=22)
+    return links.pairs().select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
 
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row per sentence with its class of equal word sets, its group and its number of links."""
-    return _p6(spark, d).groups().withColumnRenamed("id", "row_id")
+    """One row per sentence, of any language and length, with its class of equal word sets, its group
+    and its number of links; a ``row_id`` whose text is null or holds no word has no row."""
+    from rhetorica.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, d, "clean_sents"), "row_id", "sent", threshold=0.8, least_words=1).groups().withColumnRenamed("id", "row_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rhetorica.llm import abuse, components, distinctive, forms, frequency, leakage, neardup, packing, sentences, turns
+from rhetorica.llm import abuse, components, distinctive, forms, frequency, leakage, neardup, packing, queries, sentences, turns
 
 NOW = datetime(2024, 1, 1)
 
@@ -171,6 +171,15 @@ def test_near_duplicates_against_brute_force(spark, wide):
         assert empty.pairs().count() == 0 and empty.groups().count() == 0
 
 
+def test_groups_of_all_languages_and_lengths(spark, tmp_path):
+    long = [f"w{i}" for i in range(24)]
+    rows = [(1, "eins zwei drei vier fünf", "de"), (2, "fünf vier drei zwei eins sechs", "de"), (3, "one two three", "en"), (4, "Three, two, one!", "en"), (5, "alone", "fr"), (6, " ".join(long), "en"), (7, " ".join([*long[:-1], "other"]), "en"), (8, None, "en"), (9, "...", "en")]
+    spark.createDataFrame([(i, "f", t, lang, NOW) for i, t, lang in rows], "row_id bigint, file_id string, sent string, lang string, loaded_at timestamp").write.parquet(str(tmp_path / "clean_sents.parquet"))
+    got = {r.row_id: (r.class_id, r.group_id, r.links) for r in queries.p6_groups(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 1, 1), 2: (2, 1, 1), 3: (3, 3, 1), 4: (3, 3, 1), 5: (5, 5, 0), 6: (6, 6, 1), 7: (7, 6, 1)}
+    assert [tuple(r) for r in queries.p6_found(spark, str(tmp_path)).collect()] == [(6, 7)]
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(4)
     a = rng.choice(neardup.UNIVERSE, 60, replace=False)
