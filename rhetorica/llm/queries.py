@@ -132,8 +132,10 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold twelve consecutive words of an item: a window at edit distance 0."""
-    return p8_leaks(spark, d).where("distance = 0").select("doc_id", "item_id")
+    """Documents that hold twelve consecutive words of an item: a window at edit distance 0, which any one table finds."""
+    from rhetorica.llm.leakage import leaks
+
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), most_edits=0).select("doc_id", "item_id")
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -402,6 +402,46 @@ def test_leaks(spark):
     assert len(blocks) > 3 and [x for b in blocks for x in b] == items and leakage.item_blocks([]) == []
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_recall_of_edited_passages(edits):
+    """Every kind and place of edits in twelve words, between other words, against the target recall."""
+    places = [((kind, at),) for kind in "sid" for at in range(12)]
+    if edits == 2:
+        places = [(a, b) for a, b in combinations([p for (p,) in places], 2) if a[1] != b[1]]
+    found, total = Counter(), Counter()
+    word = iter(range(10**9))
+    index_items, texts, case = [], [], []
+    for n in range(60 if edits == 1 else 4):
+        for place in places:
+            run = [f"w{next(word)}" for _ in range(12)]
+            text = list(run)
+            for kind, at in sorted(place, key=lambda x: -x[1]):
+                text[at : at + (kind != "i")] = [] if kind == "d" else [f"w{next(word)}"]
+            assert brute_distance(run, text) <= edits
+            index_items.append((len(texts), " ".join(run)))
+            texts.append(" ".join([f"w{next(word)}" for _ in range(3)] + text + [f"w{next(word)}" for _ in range(n % 4)]))
+            case.append("".join(k for k, _ in place))
+    index = leakage.ItemIndex(index_items, 12, leakage.walks_for(edits), leakage.TABLES, leakage.SAMPLED)
+    ident, walk, lengths = leakage.word_hashes(texts, {})
+    start, text = leakage.window_starts(lengths, 12 - edits)
+    x, y = index.candidates(ident, walk, start, np.minimum(start + 12, np.cumsum(lengths)[text]))
+    hits = set(text[x][text[x] == index.item[y]].tolist())
+    for i, kind in enumerate(case):
+        total[kind] += 1
+        found[kind] += i in hits
+    print({k: round(found[k] / total[k], 3) for k in total})
+    assert all(found[k] >= leakage.RECALL * total[k] for k in total)
+
+
+def test_edited_passages_are_found(spark):
+    run = [f"w{i}" for i in range(12)]
+    docs = [["x", *run[:4], "new", *run[4:9], "more", *run[9:], "y"], run[:5] + run[6:9] + run[10:], ["a", *run[:3], "b", *run[4:8], "c", *run[9:], "d"], ["x", *run[:3], "b", "c", "d", *run[6:]]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id bigint, text string")
+    it = spark.createDataFrame([(1, " ".join(run))], "item_id bigint, text string")
+    got = {r.doc_id: r.distance for r in leakage.leaks(df, it, recall=0.9999).collect()}
+    assert got == {0: 2, 1: 2, 2: 2}
+
+
 # Abuse -----------------------------------------------------------------------------------------
 
 
