@@ -249,6 +249,12 @@ def code_point_counts(df: DataFrame, column: str) -> dict[str, int]:
     return {chr(r.cp): r.n for r in rows}
 
 
+def collection_counts(sents: DataFrame, processed: DataFrame) -> dict[str, int]:
+    """Occurrences of each code point in the sentences and in the tokens of the processed stretches."""
+    tokens = processed.select(F.explode(F.flatten(F.filter("sents", lambda s: s.isNotNull()))).alias("s"))
+    return code_point_counts(sents.select(F.col("sent").alias("s")).unionByName(tokens), "s")
+
+
 def consistent(column: Column, folder: Folder | None = None) -> Column:
     """The consistent form of a string column."""
     fold = folder or default_folder()

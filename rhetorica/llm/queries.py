@@ -47,7 +47,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from rhetorica.llm import forms
 
     rows = table(spark, d, "clean_sents")
-    fold = forms.Folder(forms.code_point_counts(rows, "sent"))
+    fold = forms.Folder(forms.collection_counts(rows, table(spark, d, "processed")))
     return forms.same_looking_pairs(rows, "row_id", "sent", fold).select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
 
 
@@ -57,10 +57,23 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     from rhetorica.llm.frequency import latest
 
     rows = table(spark, d, "clean_sents")
-    fold = forms.Folder(forms.code_point_counts(rows, "sent"))
+    fold = forms.Folder(forms.collection_counts(rows, table(spark, d, "processed")))
     return latest(rows, "row_id", ["sent"], "loaded_at").select(F.col("id").alias("row_id"), forms.consistent(F.col("sent"), fold).alias("form"))
 
 
+def p3_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form of every token of every processed stretch, sentence marks included: one row
+    per ``proc_id``, stored sentence and place in it, both from 1. A null token has a null form."""
+    from rhetorica.llm import forms
+    from rhetorica.llm.frequency import latest
+
+    rows = table(spark, d, "processed")
+    fold = forms.Folder(forms.collection_counts(table(spark, d, "clean_sents"), rows))
+    sents = latest(rows, "proc_id", ["sents"], "loaded_at").select(F.col("id").alias("proc_id"), F.posexplode("sents").alias("sent_no", "sent"))
+    tokens = sents.select("proc_id", (F.col("sent_no") + 1).alias("sent_no"), F.posexplode("sent").alias("token_no", "token"))
+    return tokens.select("proc_id", "sent_no", (F.col("token_no") + 1).alias("token_no"), "token", forms.consistent(F.col("token"), fold).alias("form"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Sentence ends inside the stored sentences and the processed stretches."""
     from rhetorica.llm.sentences import text_ends, token_ends

@@ -54,6 +54,16 @@ def test_same_looking_pairs_against_brute_force(spark):
     assert forms.same_looking_pairs(df.limit(0), "row_id", "sent").count() == 0
 
 
+def test_forms_of_processed_tokens(spark, tmp_path):
+    spark.createDataFrame([(1, "plain", NOW)], "row_id bigint, sent string, loaded_at timestamp").write.parquet(str(tmp_path / "clean_sents.parquet"))
+    stretches = [(1, [["<S>", "lοst", None, "</S>"], None, ["ｔhe"]], NOW), (1, [["<S>", "lοst", None, "</S>"], None, ["ｔhe"]], NOW + timedelta(days=1)), (2, None, NOW), (3, [["ϲο", "ϲ"]], NOW)]
+    spark.createDataFrame(stretches, "proc_id bigint, sents array<array<string>>, loaded_at timestamp").write.parquet(str(tmp_path / "processed.parquet"))
+    got = {(r.proc_id, r.sent_no, r.token_no): r.form for r in queries.p3_tokens(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 1): "<S>", (1, 1, 2): "lost", (1, 1, 3): None, (1, 1, 4): "</S>", (1, 3, 1): "the", (3, 1, 1): forms.Folder()("ϲο"), (3, 1, 2): forms.Folder()("ϲ")}
+    counts = forms.collection_counts(spark.read.parquet(str(tmp_path / "clean_sents.parquet")), spark.read.parquet(str(tmp_path / "processed.parquet")))
+    assert counts["ο"] == 3 and counts["ｔ"] == 2  # deliveries are counted as stored
+
+
 def test_code_point_counts(spark):
     df = spark.createDataFrame([("éé",), ("plain",), (None,), ("é",)], "s string")
     assert forms.code_point_counts(df, "s")["é"] == 3
