@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,27 +68,31 @@ class Calibrator:
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
         """(doc, label, p) from (doc, label, score): the folds' mean, normalised within each text."""
-        p = None
         labels = sorted({c[1] for c in self.curves_})
-        for label in labels:
-            own = [c[2] for c in self.curves_ if c[1] == label]
-            mean = sum((self._apply(c) for c in own), F.lit(0.0)) / len(own)
-            p = F.when(F.col("label") == label, mean) if p is None else p.when(F.col("label") == label, mean)
         w = Window.partitionBy("doc")
         total, k = F.sum("raw").over(w), F.count(F.lit(1)).over(w)
-        out = df.withColumn("raw", p)
+        if self.method == "isotonic":
+            # one row per class, with the boundaries and values of each fold as arrays
+            rows = [(label, [c[2] for c in self.curves_ if c[1] == label]) for label in labels]
+            kind = dict(df.dtypes)["label"]
+            curves = df.sparkSession.createDataFrame(rows, f"label {kind}, curves array<struct<xs: array<double>, ys: array<double>>>")
+            mean = F.aggregate("curves", F.lit(0.0), lambda t, c: t + _on_curve(F.col("score"), c["xs"], c["ys"])) / F.size("curves")
+            out = df.join(F.broadcast(curves), "label", "left").withColumn("raw", mean)
+        else:
+            p = None
+            for label in labels:
+                own = [c[2] for c in self.curves_ if c[1] == label]
+                mean = sum((1 / (1 + F.exp(a * F.col("score") + b)) for a, b in own), F.lit(0.0)) / len(own)
+                p = F.when(F.col("label") == label, mean) if p is None else p.when(F.col("label") == label, mean)
+            out = df.withColumn("raw", p)
         return out.select("doc", "label", F.least(F.when(total > 0, F.col("raw") / total).otherwise(1 / k), F.lit(1.0)).alias("p"))
 
-    def _apply(self, curve):
-        s = F.col("score")
-        if self.method == "sigmoid":
-            a, b = curve
-            return 1 / (1 + F.exp(a * s + b))
-        xs, ys = curve
-        out = F.when(s <= xs[0], F.lit(ys[0]))
-        for (x0, y0), (x1, y1) in zip(zip(xs, ys), zip(xs[1:], ys[1:])):
-            out = out.when(s <= x1, F.lit(y0) + (s - x0) * ((y1 - y0) / (x1 - x0) if x1 > x0 else 0.0))
-        return out.otherwise(F.lit(ys[-1]))
+
+def _on_curve(s: Column, xs: Column, ys: Column) -> Column:
+    """The value at ``s`` of a curve that is linear between boundaries and flat outside."""
+    at = F.size(F.filter(xs, lambda x: x < s))  # boundaries below s
+    x0, x1, y0, y1 = F.get(xs, at - 1), F.get(xs, at), F.get(ys, at - 1), F.get(ys, at)
+    return F.when(at == 0, F.get(ys, F.lit(0))).when(at == F.size(xs), y0).otherwise(y0 + (s - x0) * ((y1 - y0) / (x1 - x0)))
 
 
 def calibration_curve(df: DataFrame, truth: str, prob: str, bins: int = 5, normalize: bool = False) -> DataFrame:

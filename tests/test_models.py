@@ -145,6 +145,29 @@ def test_calibrator(spark):
         calibrate.Calibrator().fit(df.where("truth = 'A'"))
 
 
+def test_isotonic_query_keeps_every_class(spark, monkeypatch):
+    from rhetorica.plans import model_queries as q
+
+    rows = [(i, c, float((i % 5 == k) * 2 + i % 3), "ABCDE"[i % 5]) for i in range(50) for k, c in enumerate("ABCDE")]
+    df = spark.createDataFrame(rows, "doc int, label string, score double, truth string")
+    monkeypatch.setattr(q, "_class_scores", lambda spark, d: df)
+    got = q.k06_isotonic(spark, "").collect()
+    assert len(got) == 250 and {r.label for r in got} == set("ABCDE") and sum(r.p for r in got) == pytest.approx(50)
+    curve = calibrate.Calibrator("isotonic")
+    curve.curves_ = [(None, "A", ([0.0, 2.0, 3.0], [0.1, 0.5, 0.9])), (None, "B", ([1.0], [0.5]))]
+    asked = spark.createDataFrame([(s, c, v) for s, v in enumerate([-1.0, 0.0, 1.0, 2.0, 2.5, 9.0]) for c in "AB"], "doc int, label string, score double")
+    p = {r.doc: r.p for r in curve.predict_proba(asked).where("label = 'A'").collect()}
+    assert [p[k] for k in range(6)] == pytest.approx([v / (v + 0.5) for v in (0.1, 0.1, 0.3, 0.5, 0.7, 0.9)])
+
+
+def test_generate_query_has_every_model(spark, monkeypatch):
+    from rhetorica.plans import model_queries as q
+
+    m = lm.train(spark.createDataFrame([(c, ["the", "end"]) for c in "abcd"], "model string, tokens array<string>"), 1, 1.0)
+    monkeypatch.setattr(q, "_model", lambda spark, d: m)
+    assert [r.model for r in q.l13_generate(spark, "").orderBy("model").collect()] == list("abcd")
+
+
 def test_calibration_curve(spark):
     df = spark.createDataFrame([(0, 0.0), (1, 0.05), (1, 1.0), (0, 0.5)], "y int, p double")
     got = {r.bin: (r.n, r.share) for r in calibrate.calibration_curve(df, "y", "p").collect()}
