@@ -123,6 +123,13 @@ def p4_names(spark: SparkSession, d: str) -> DataFrame:
     return named_speakers(table(spark, d, "processed"), "proc_id", "name", table(spark, d, "speakers")).withColumnRenamed("id", "proc_id")
 
 
+def p4_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """The clean text of every stored sentence of the processed stretches, with their speaker."""
+    from rhetorica.llm.turns import spoken_stretches
+
+    return spoken_stretches(table(spark, d, "processed"), table(spark, d, "speakers"))
+
+
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, for every capacity."""
     from rhetorica.llm.packing import packed

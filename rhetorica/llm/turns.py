@@ -1,11 +1,14 @@
 """Speech transcripts into clean, ordered speaker turns (problem 4).
 
 Method: the lines of a transcript are turned into tokens (clock time, number, mark, word) and
-grouped by a fixed-depth token tree into line templates. Each template proposes a slot for the
-speaker and one for the clock time; the layout of the file is the kind of template whose speaker
-slots are filled most often by forms of known speakers. Lines of that layout that name a speaker
-start a piece, other lines continue it; pieces are ordered by clock time where the file has them,
-cleaned, and adjoining pieces of one speaker merged.
+grouped by a fixed-depth token tree into line templates. Each template is searched for its slots:
+what precedes the speaker slot (clock times, arrows, words that all its lines share), and the mark,
+clock time or line end that closes it. A closing mark is proposed by a template if known speakers
+fill the slot before it; templates that propose the same slots are one layout, a file may have
+several, and a layout counts if it is a fair part of the file's strongest one. Templates of clock
+times only are cues. Lines whose slot names a speaker start a piece, other lines continue it;
+pieces are ordered by clock time where the file has them, cleaned, and adjoining pieces of one
+speaker merged.
 
 A label is a form of a speaker: the listed name, surname or full name in either order, with or
 without titles, initials, notes in brackets and stray marks, with at most one slip (a letter
@@ -25,51 +28,91 @@ from pyspark.sql import functions as F
 from rhetorica.llm.forms import default_folder
 
 CLOCK = r"\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
-# Words of sound annotations in round brackets, titles, and words for members of the audience.
-SOUNDS = "laughter laughs laughing applause cheering cheers booing boos crosstalk cross talk inaudible unintelligible audience shouting shouts bell rings ringing music pause silence coughs coughing sighs gasps whistling off mic".split()
+# Beginnings of words that name a sound, and words that may stand beside one in round brackets;
+# titles; words for members of the audience.
+SOUNDS = "laugh applau cheer boo clap chant crosstalk inaudibl unintelligibl indistinct shout yell scream bell ring music pause pausing silen cough sigh gasp groan murmur whistl sneez sniff cr(?:y|ies|ied) noise chuckl giggl buzz overlap mic(?:rophone)?$".split()
+BESIDE = "audience audiences member members crowd crowds he she they it someone man woman men women people and or the a an in on off of from by to long short brief loud loudly soft softly quiet quietly more some continues continue continued continuing begins ends starts stops again cross talk talking over background foreign speaking speaks plays playing clears throat voice voices".split()
 TITLES = "mr mrs ms miss dr prof professor sen senator gov governor rep representative congressman congresswoman president vice secretary mayor sir madam moderator gen lt".split()
 CROWD = "audience member members crowd".split()
 
-_TOKEN = re.compile(rf"{CLOCK}|-->|>>|<v\b|\d+|[^\W\d_]+(?:['’.-][^\W\d_]+)*|\S")
+_TOKEN = re.compile(rf"{CLOCK}|-->|>>+|<v\b(?:\.[\w.]+)?|\d+|[^\W\d_]+(?:['’.-][^\W\d_]+)*|\t|\S")
 _TIME = re.compile(CLOCK)
-_CUE = re.compile(rf"^\s*({CLOCK})\s*-->\s*{CLOCK}.*$")
+_BEFORE = re.compile(rf"(?:\s*(?:[(\[]?(?P<at>{CLOCK})[)\]]?|>>+|<v\b(?:\.[\w.]+)?|\d+[.)](?=\s)|[-–—|•]))*\s*")
 _NOTE = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>|\*[^*\n]+\*|♪[^♪\n]*♪|♪")
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?")
 _HESITATION = re.compile(r"u+h+m*|u+m+|e+r+m*|h+m+|m+h*m+|uh-?huh|uh-?uh|mm+-?h+m+|mhm|ahem")
-_SPEAKER = {
-    "voice": re.compile(r"^\s*<v(?:\.[\w.]+)?\s+(?P<who>[^>\n]{1,80})>(?P<text>.*)$"),
-    "stamped": re.compile(rf"^\s*(?P<who>[^\n]{{1,80}}?)\s*[-–:]?\s*[(\[](?P<at>{CLOCK})[)\]]\s*$"),
-    "colon": re.compile(rf"^\s*(?:>>+\s*)?(?:[(\[]?(?P<at>{CLOCK})[)\]]?\s*(?:[-–]\s*)?)?(?:>>+\s*)?(?P<who>[^:\n]{{1,80}}?)\s*:+(?P<text>.*)$"),
-}
-DEPTH = 4
+_SOUND = re.compile(f"(?:{'|'.join(SOUNDS)})")
+DEPTH = 4  # tokens after what precedes the speaker slot, by which lines are grouped
+PURE = 0.2  # share of a template's slots that known speakers fill, from which it proposes them
+FAIR = 0.25  # share of the hits of the strongest layout, from which another one counts
+CONSTANT = 3  # lines of a template from which shared first words aren't by chance
+END, AT = "<end>", "<time>"
+_NO_CLOSING = set("([{<'\"“‘„«")
 
 
 class TokenTree:
-    """Lines grouped by their first ``depth`` tokens; leaves that only differ in words are one."""
+    """Lines grouped by the kinds of what precedes the first word and of the ``depth`` tokens from there on."""
 
     def __init__(self, depth: int = DEPTH) -> None:
         self.depth, self.root, self.lines = depth, {}, defaultdict(list)
 
     @staticmethod
     def kind(token: str) -> str:
-        if _TIME.fullmatch(token):
-            return "<time>"
+        if ":" in token and _TIME.fullmatch(token):
+            return AT
         if token.isdigit():
             return "<number>"
         return "<word>" if token[0].isalpha() else token
 
     def add(self, number: int, line: str) -> tuple:
-        node, path = self.root, []
-        for m in _TOKEN.finditer(line):
+        before = _BEFORE.match(line).end()
+        path = [_TIME.sub(AT, line[:before]).strip()]
+        for m in _TOKEN.finditer(line, before):
             k = self.kind(m[0])
-            if path and k == "<word>" == path[-1]:  # a run of words is one slot
+            if k == "<word>" == path[-1] and len(path) > 1:  # a run of words is one slot
                 continue
+            if len(path) > self.depth:
+                break
             path.append(k)
+        else:
+            path.append(END)
+        node = self.root
+        for k in path:
             node = node.setdefault(k, {})
-            if len(path) == self.depth:
-                break
-        self.lines[tuple(path)].append(number)
-        return tuple(path)
+        leaf = node.setdefault("", tuple(path))
+        self.lines[leaf].append(number)
+        return leaf
+
+
+class Slots:
+    """Where a layout has its speaker: after ``lead`` (words that all lines share, mostly none), up to ``closing``."""
+
+    def __init__(self, lead: str, closing: str) -> None:
+        self.lead, self.closing = lead, closing
+        if closing in "-–—":
+            mark = r"(?<=\s)[-–—]+(?=\s)"
+        else:
+            mark = f"(?:{re.escape(closing)})+"
+        self._mark = re.compile(rf"(?P<at>{CLOCK})|(?P<mark>{mark})")
+
+    def read(self, line: str) -> tuple[str, str | None, str] | None:
+        """(label, clock time, text) of a line; None if it has no such slot."""
+        m = _BEFORE.match(line)
+        start, at = m.end(), m["at"]
+        if self.lead:
+            if not line.startswith(self.lead, start):
+                return None
+            m = _BEFORE.match(line, start + len(self.lead))
+            start, at = m.end(), m["at"] or at
+        if self.closing == END:
+            return line[start:], at, ""
+        for m in self._mark.finditer(line, start):
+            if m["mark"] and self.closing != AT:
+                return line[start : m.start()], at, line[m.end() :]
+            if m["at"] and self.closing == AT:
+                return line[start : m.start()].rstrip(" \t([-–—:"), m["at"], line[m.end() :].lstrip(")]")
+            at = m["at"] or at
+        return None
 
 
 def seconds(clock: str) -> float:
@@ -120,6 +163,16 @@ class Roster:
                 for t in self._letters(title or ""):
                     self.by_title[t, last].add(speaker)
         self._known: dict[str, str | None] = {}
+        self.most_words = max((f.count(" ") + 1 for f in self.forms), default=0) + 1  # a slip may split a word
+        self.shorter: dict[str, list[str]] = defaultdict(list)  # forms by themselves with a letter left out
+        for f in self.forms:
+            if len(f) >= 4:
+                for x in self._variants(f):
+                    self.shorter[x].append(f)
+
+    @staticmethod
+    def _variants(s: str) -> set[str]:
+        return {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}
 
     @staticmethod
     def _letters(s: str) -> list[str]:
@@ -144,12 +197,14 @@ class Roster:
             return None
         names = self._letters(label)
         given = [x for x in names if x in self.titles]
-        if not names or len(names) > 6:
+        if not names:
             return None
         for crowd in self.audience:
             if set(names) & {"audience", *self._letters(crowd)} and set(names) <= {*CROWD, *self._letters(crowd)}:
                 return crowd
         rest = [x for x in names if x not in self.titles] or names
+        if len(rest) > self.most_words:
+            return None
         text = " ".join(rest)
         exact = self.forms.get(text)
         if exact:
@@ -159,33 +214,54 @@ class Roster:
             return next(iter(titled)) if len(titled) == 1 else None
         if len(text) < 4:
             return None
-        close = [who for form, who in self.forms.items() if len(form) >= 4 and within_one_slip(text, form)]
+        # texts within one slip of each other have a variant in common
+        close = [self.forms[form] for form in {f for x in self._variants(text) for f in self.shorter.get(x, ())} if within_one_slip(text, form)]
         found = set().union(*close) if close else set()
         if len(found) > 1:
             found = {s for t in given for s in self.by_title.get((t, rest[-1]), ())} & found
         return next(iter(found)) if len(found) == 1 else None
 
 
-def infer_layout(lines: list[str], roster: Roster) -> str | None:
-    """The kind of template whose speaker slot is filled most often by known speakers."""
-    tree = TokenTree()
-    for i, line in enumerate(lines):
-        if line.strip():
-            tree.add(i, line)
-    votes: dict[str, int] = defaultdict(int)
-    for numbers in tree.lines.values():
-        for kind, pattern in _SPEAKER.items():
-            # a template counts with all its lines: a rare form in it is read like its frequent ones
-            votes[kind] += sum(1 for i in numbers if (m := pattern.match(lines[i])) and roster.find(m["who"]))
-    best = max(votes, key=lambda k: (votes[k], k), default=None)
-    return best if best and votes[best] else None
+def infer_layouts(lines: list[str], roster: Roster, tree: TokenTree) -> list[Slots]:
+    """The slots of the file's layouts, the strongest first, from the templates of ``tree``."""
+    strength: dict[tuple[str, str], int] = defaultdict(int)
+    for leaf, numbers in tree.lines.items():
+        best = None
+        for lead in ("", *_shared(lines, numbers)):
+            for closing in dict.fromkeys(k for k in leaf[1:] if k not in ("<word>", "<number>") and k not in _NO_CLOSING):
+                slots = Slots(lead, closing)
+                read = [r for i in numbers if (r := slots.read(lines[i])) and r[0]]
+                known = [r for r in read if roster.find(r[0])]
+                if known and len(known) >= PURE * len(read):
+                    # of slots that are filled as often: those with times, then those that reach further
+                    rank = (len(known), sum(r[1] is not None for r in known), sum(len(r[0]) for r in known))
+                    if best is None or rank > best[0]:
+                        best = (rank, lead, closing)
+        if best:
+            strength[best[1:]] += best[0][0]
+    most = max(strength.values(), default=0)
+    return [Slots(*k) for k, n in sorted(strength.items(), key=lambda x: (-x[1], x[0])) if n >= FAIR * most]
+
+
+def _shared(lines: list[str], numbers: list[int]) -> list[str]:
+    """The first words and marks after what precedes the slot, if all lines of a template share them."""
+    if len(numbers) < CONSTANT:
+        return []
+    rests = [lines[i][_BEFORE.match(lines[i]).end() :] for i in numbers]
+    low, high = min(rests), max(rests)
+    n = next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+    shared = re.match(r".*[\s:|>\]-](?=\S|$)", low[:n])
+    return [shared[0].rstrip()] if shared and shared[0].strip() else []
 
 
 def _is_sound(note: str) -> bool:
     if note[0] != "(":
         return True
     inner = re.findall(r"[^\W\d_]+", note.lower())
-    return bool(_TIME.search(note)) or (bool(inner) and all(w in SOUNDS for w in inner))
+    if _TIME.search(note):
+        return True
+    sounds = [bool(_SOUND.match(w)) for w in inner]
+    return (any(sounds) or {"cross", "talk"} <= set(inner) or "background" in inner) and all(s or w in BESIDE for s, w in zip(sounds, inner))
 
 
 def clean(text: str) -> list[str]:
@@ -198,36 +274,43 @@ def clean(text: str) -> list[str]:
         if core is None:  # neither letter nor digit
             continue
         core = core[0]
-        if core[0] not in "uUeEhHmMaA" or len(core) > 12 or not _HESITATION.fullmatch(core.lower()):
+        if core[0] not in "uUeEhHmMaA" or not _HESITATION.fullmatch(core.lower()):
             out.append(piece)
     return out
 
 
-def turns_of(raw: str | None, roster: Roster) -> list[tuple[str, list[str]]]:
+def turns_of(raw: str | None, roster: Roster, depth: int = DEPTH) -> list[tuple[str, list[str]]]:
     """(speaker, spoken pieces) of each turn, in order. Null or empty text has no turns."""
     if not raw:
         return []
     fold = default_folder()
     lines = fold(raw).splitlines()
-    kind = infer_layout(lines, roster)
-    if kind is None:
+    tree, leaf_of = TokenTree(depth), {}
+    for i, line in enumerate(lines):
+        if line.strip():
+            leaf_of[i] = tree.add(i, line)
+    cues = {leaf for leaf in tree.lines if any(AT in k for k in leaf) and "<word>" not in leaf}  # clock times without words
+    layouts = infer_layouts(lines, roster, tree)
+    if not layouts:
         return []
-    pattern, pieces, cue, last = _SPEAKER[kind], [], None, 0.0
+    pieces, cue, last = [], None, 0.0
     for i, line in enumerate(lines):
-        if m := _CUE.match(line):
-            cue = seconds(m[1])
+        if leaf_of.get(i) in cues and (m := _TIME.search(line)) and not any(c.isalpha() for c in line):
+            cue = seconds(m[0])
             continue
-        if line.strip().isdigit() and i + 1 < len(lines) and _CUE.match(lines[i + 1]):
+        if line.strip().isdigit() and leaf_of.get(i + 1) in cues:  # the number of a cue
             continue
-        m = pattern.match(line)
-        who = roster.find(m["who"]) if m else None
-        if who:
-            at = m["at"] if "at" in pattern.groupindex else None
-            when = seconds(at) if at else cue
-            last = when if when is not None else last
-            pieces.append((last, len(pieces), who, [m["text"] if "text" in pattern.groupindex else ""]))
-        elif pieces:
-            pieces[-1][3].append(line)
+        for slots in layouts:
+            got = slots.read(line)
+            who = got and roster.find(got[0])
+            if who:
+                when = seconds(got[1]) if got[1] else cue
+                last = when if when is not None else last
+                pieces.append((last, len(pieces), who, [got[2]]))
+                break
+        else:
+            if pieces:
+                pieces[-1][3].append(line)
     out: list[tuple[str, list[str]]] = []
     for _, _, who, text in sorted(pieces, key=lambda p: p[:2]):
         spoken = clean("\n".join(text))
@@ -276,3 +359,26 @@ def named_speakers(df: DataFrame, id_col: str, name_col: str, speakers: DataFram
     roster = roster_of(speakers)
     find = F.pandas_udf(lambda s: s.map(lambda x: roster.find(x.strip(" :[]")) if isinstance(x, str) else None), "string")
     return df.select(F.col(id_col).alias("id"), F.col(name_col).alias("name")).distinct().withColumn("speaker", find("name"))
+
+
+def spoken_stretches(processed: DataFrame, speakers: DataFrame) -> DataFrame:
+    """(proc_id, speaker, sent_no, text, n_words): each stored sentence of each stretch without sentence
+    marks, annotations, clock times and hesitation sounds, with the speaker that the stored name is a
+    form of (null if none).
+
+    A stretch delivered several times counts once, its latest delivery. A sentence of which nothing
+    remains has an empty text and no words; null sentences and null tokens hold nothing.
+    """
+    from rhetorica.llm.frequency import latest
+
+    roster = roster_of(speakers)
+
+    @F.pandas_udf("array<string>")
+    def spoken(s):
+        return s.map(lambda x: clean(default_folder()(x)) if isinstance(x, str) else [])
+
+    find = F.pandas_udf(lambda s: s.map(lambda x: roster.find(x.strip(" :[]")) if isinstance(x, str) else None), "string")
+    one = latest(processed, "proc_id", ["name", "sents"], "loaded_at")
+    rows = one.select(F.col("id").alias("proc_id"), find("name").alias("speaker"), F.posexplode("sents").alias("at", "sent"))
+    said = rows.select("proc_id", "speaker", (F.col("at") + 1).alias("sent_no"), spoken(F.array_join(F.filter("sent", lambda t: ~t.isin("<S>", "</S>")), " ")).alias("words"))
+    return said.select("proc_id", "speaker", "sent_no", F.array_join("words", " ").alias("text"), F.size("words").alias("n_words"))

@@ -244,6 +244,42 @@ def test_layouts(roster):
     assert spoken(srt, roster) == [("BERGEN", "zero"), ("ORLA", "One 7 two")]
 
 
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("ORLA - We go - now.\nBERGEN - No, Orla.\n", [("ORLA", "We go now."), ("BERGEN", "No, Orla.")]),
+        ("ORLA\tWe go.\nBERGEN\tNo.\n", [("ORLA", "We go."), ("BERGEN", "No.")]),
+        ("ORLA\nWe go on.\nAnd on.\n\nBERGEN\nNo. Orla is here.\n", [("ORLA", "We go on. And on."), ("BERGEN", "No. Orla is here.")]),
+        ("[ORLA] We go.\n[Bergen] No.\nmore", [("ORLA", "We go."), ("BERGEN", "No. more")]),
+        ("00:05 | ORLA | We go.\n00:01 | BERGEN | No.", [("BERGEN", "No."), ("ORLA", "We go.")]),
+        ("[00:05] ORLA\nWe go.\n[00:01] BERGEN\nNo.\n", [("BERGEN", "No."), ("ORLA", "We go.")]),
+        ("Speaker: ORLA - We go.\nSpeaker: BERGEN - No.\nSpeaker: BERGEN - Yes.\n", [("ORLA", "We go."), ("BERGEN", "No. Yes.")]),
+        ("ORLA: One.\nBERGEN: Two.\nORLA (0:02)\nFour.\nBERGEN (0:01)\nThree.\n", [("ORLA", "One."), ("BERGEN", "Two. Three."), ("ORLA", "Four.")]),
+        ("ORLA: a b (long pause) c (he laughed) (audience member shouts) (the music industry) ummmmmmmmmmmmmmm d", [("ORLA", "a b c (the music industry) d")]),
+        ("ORLA: " + "x" * 100 + "\n" + "ab " * 40 + ": y", [("ORLA", "x" * 100 + " " + "ab " * 40 + "y")]),
+    ],
+)
+def test_slots_are_inferred(roster, raw, want):
+    assert spoken(raw, roster) == [(w, " ".join(t.split())) for w, t in want]
+
+
+def test_templates_decide(roster, monkeypatch):
+    """One template of all lines instead of a tree finds other slots: names on lines of their own are too few of all lines."""
+    raw = "".join(f"{who}\nWe go on, and so on.\nNobody is here, not one.\nIt is so.\nYes, it is.\nIt was - they say - so.\n" for who in ("ORLA", "BERGEN", "M. DAHL") * 3)
+    assert len(spoken(raw, roster)) == 9
+    monkeypatch.setattr(turns.TokenTree, "add", lambda self, i, line: self.lines[("", "<word>", "<end>")].append(i))
+    assert spoken(raw, roster) == []
+
+
+def test_spoken_stretches(spark):
+    people = spark.createDataFrame(PEOPLE, "speaker string, full_name string, role string, title string")
+    rows = [(1, "[Orla]:", [["<S>", "um", "we", "[", "applause", "]", "go", "00:12:01", None, ".", "</S>"], ["uh"], None], NOW, "x"), (1, "[Orla]:", [["old"]], NOW - timedelta(1), "x"), (2, None, None, NOW, "x"), (3, "?", [["a"]], None, "x")]
+    df = spark.createDataFrame(rows, "proc_id bigint, name string, sents array<array<string>>, loaded_at timestamp, speaker string")
+    got = {(r.proc_id, r.sent_no): (r.speaker, r.text, r.n_words) for r in turns.spoken_stretches(df, people).collect()}
+    assert got == {(1, 1): ("ORLA", "we go", 2), (1, 2): ("ORLA", "", 0), (1, 3): ("ORLA", "", 0), (3, 1): (None, "a", 1)}
+    assert turns.spoken_stretches(df.limit(0), people).count() == 0
+
+
 def test_turns_odd_input(spark, roster):
     assert spoken(None, roster) == spoken("", roster) == spoken("no labels\nat all", roster) == []
     assert len(turns.turns_of("ORLA: " + "word " * 200_000, roster)[0][1]) == 200_000
