@@ -1,9 +1,11 @@
 """One consistent form for text that looks the same (problem 3).
 
-Method: pairs of look-alike strings and code points are joined by union-find into transitive
-classes; each class has, for every script, a representative chosen by how often the members
-occur in the collection; words that mix scripts are rewritten greedily by a multi-pattern
-automaton built from the classes.
+Method: strings and code points that look alike are joined by union-find into transitive classes:
+listed letters of different scripts, compatibility forms and what they stand for (ligatures,
+full-width and half-width forms, mathematical letters), and letters with marks, whose look-alikes
+are those of the letter with the same marks, composed or not. Each class has, for every script, a
+representative chosen by how often the members occur in the collection; words that mix scripts are
+rewritten greedily, in the characters as stored, by an automaton over all patterns of the classes.
 
 The consistent form of a text is NFKC without invisible characters, with plain spaces and with
 every word in one script. Accents, case, dashes and quotation marks that look different stay
@@ -121,36 +123,72 @@ def look_alike_pairs() -> list[tuple[str, str]]:
     return [(left.strip(), x) for line in LOOK_ALIKES.strip().splitlines() for left, right in [line.split(":")] for x in right.split()]
 
 
+@lru_cache(maxsize=1)
+def composed() -> list[tuple[str, str]]:
+    """(character, letters and marks it decomposes into) for the letters that have a decomposition."""
+    out = []
+    for cp in range(0x80, 0x20000):
+        ch = chr(cp)
+        if ch.isalpha():
+            d = unicodedata.normalize("NFKD", ch)
+            if d != ch and not "\uac00" <= ch <= "\ud7a3":  # Hangul syllables are made of Hangul only
+                out.append((ch, d))
+    return out
+
+
+@lru_cache(maxsize=1)
+def basic_classes() -> list[list[str]]:
+    """The classes that don't depend on a collection."""
+    listed = Classes()
+    for a, b in look_alike_pairs():
+        listed.join(a, b)
+    alike = {s: group for group in listed.groups() for s in group}
+    classes = Classes()
+    for a, b in look_alike_pairs():
+        classes.join(a, b)
+    nfc = lambda s: unicodedata.normalize("NFC", s)
+    for ch, d in composed():
+        if any(c in alike for c in d):
+            classes.join(ch, nfc(d))
+            if d[0] in alike and len(d) > 1 and all(unicodedata.combining(c) for c in d[1:]):
+                for x in alike[d[0]]:
+                    classes.join(nfc(d), x + d[1:])
+                    classes.join(nfc(d), nfc(x + d[1:]))
+    return classes.groups()
+
+
 class Folder:
     """Brings text to its consistent form.
 
     counts: occurrences of code points in the collection, for the choice of representatives;
-    without counts the lowest code point of a script represents it.
+    without counts the lowest code point of a script represents it. A string of several code
+    points counts as often as its rarest one.
     """
 
     def __init__(self, counts: dict[str, int] | None = None) -> None:
         self.counts = counts or {}
-        classes = Classes()
-        for a, b in look_alike_pairs():
-            classes.join(a, b)
-        for ch in sorted(self.counts):  # compatibility forms found in the collection join the class of what they stand for
-            n = unicodedata.normalize("NFKC", ch)
-            if n != ch and n:
-                classes.join(ch, n)
+        often = lambda s: min(self.counts.get(c, 0) for c in s)
+        letters: dict[str, dict[str, str]] = {}  # script -> letter of another script -> representative
         self.members: dict[str, dict[str, str]] = {}  # member -> script -> representative
-        self.automata: dict[str, ahocorasick.Automaton] = {}
-        rewrites: dict[str, dict[str, str]] = {}
-        for group in classes.groups():
-            stable = [s for s in group if unicodedata.normalize("NFKC", s) == s and len(s) == 1 and script_of(s)]
+        patterns: dict[str, dict[str, str]] = {}  # script -> string as stored -> representative
+        for group in basic_classes():
+            stable = [s for s in group if unicodedata.normalize("NFKC", s) == s and script_of(s[0]) and all(unicodedata.combining(c) for c in s[1:])]
             best: dict[str, str] = {}
-            for s in sorted(stable, key=lambda x: (-self.counts.get(x, 0), x)):
-                best.setdefault(script_of(s), s)
+            for s in sorted(stable, key=lambda x: (-often(x), len(x), x)):
+                best.setdefault(script_of(s[0]), s)
             for s in group:
                 self.members[s] = best
                 for script, to in best.items():
                     if s != to and script_of(s[0]) != script:
-                        rewrites.setdefault(script, {})[s] = to
-        for script, table in rewrites.items():
+                        patterns.setdefault(script, {})[s] = to
+                        if len(s) == 1:
+                            letters.setdefault(script, {})[s] = to
+        for ch, d in composed():  # a character that stands for several letters is rewritten letter by letter
+            for script, to in letters.items():
+                if ch not in patterns[script] and any(c in to for c in d):
+                    patterns[script][ch] = unicodedata.normalize("NFC", "".join(to.get(c, c) for c in d))
+        self.automata: dict[str, ahocorasick.Automaton] = {}
+        for script, table in patterns.items():
             a = ahocorasick.Automaton()
             for s, to in table.items():
                 a.add_word(s, (len(s), to))
@@ -160,7 +198,7 @@ class Folder:
         for c, n in self.counts.items():
             self._weights[script_of(c)] += n
         self._words: dict[str, str] = {}
-        self._drop: dict[int, int | None] = _Invisible()
+        self._drop: dict[int, int | str | None] = _Invisible()
 
     def __getstate__(self):
         return {"counts": self.counts}
@@ -174,20 +212,19 @@ class Folder:
         done = self._words.get(w)
         if done is not None:
             return done
-        parts = unicodedata.normalize("NFD", w)
+        parts = unicodedata.normalize("NFKD", w)
         scripts = Counter(s for s in map(script_of, parts) if s)
         out = w
         if len(scripts) > 1:
             fixed = Counter(script_of(c) for c in parts if script_of(c) and c not in self.members)
             options = sorted(scripts, key=lambda s: (-fixed[s], -scripts[s], -self._weight(s), s))
-            target = options[0]
-            auto = self.automata.get(target)
+            auto = self.automata.get(options[0])
             if auto is not None:
                 pieces, at = [], 0
-                for end, (n, to) in auto.iter_long(parts):
-                    pieces += [parts[at : end - n + 1], to]
+                for end, (n, to) in auto.iter_long(w):
+                    pieces += [w[at : end - n + 1], to]
                     at = end + 1
-                out = unicodedata.normalize("NFKC", "".join([*pieces, parts[at:]]))
+                out = "".join([*pieces, w[at:]])
         if len(self._words) < 200_000:
             self._words[w] = out
         return out
@@ -198,20 +235,23 @@ class Folder:
     def __call__(self, text: str | None) -> str | None:
         if text is None or text.isascii():
             return text
-        t = unicodedata.normalize("NFKC", text.translate(self._drop))
+        t = text.translate(self._drop)
         if not t.isascii():
-            t = _LETTER_RUN.sub(lambda m: m[0] if m[0].isascii() else self.word(m[0]), t)
+            t = unicodedata.normalize("NFKC", _LETTER_RUN.sub(lambda m: m[0] if m[0].isascii() else self.word(m[0]), t))
         return t
 
 
 class _Invisible(dict):
-    """translate() table made as code points turn up: invisible ones go, odd spaces become plain."""
+    """translate() table made as code points turn up: invisible ones go, odd spaces become plain,
+    compatibility forms of anything but letters become what they stand for."""
 
     def __missing__(self, cp: int):
         ch = chr(cp)
         kind = unicodedata.category(ch)
         gone = cp in OTHER_INVISIBLE or kind == "Cf" and cp not in VISIBLE_FORMATS
-        self[cp] = None if gone else 32 if kind == "Zs" else cp
+        n = unicodedata.normalize("NFKC", ch)
+        letters = ch.isalpha() and all(c.isalpha() or "\u0300" <= c <= "\u036f" for c in n)
+        self[cp] = None if gone else 32 if kind == "Zs" else cp if letters or n == ch else n
         return self[cp]
 
 
@@ -294,3 +334,24 @@ def same_looking_pairs(df: DataFrame, id_col: str, text_col: str, folder: Folder
         pairs.join(a, ["f1", "f2", "va"]).join(b, ["f1", "f2", "vb"]).where("ia <> ib")
         .select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
     )
+
+
+def same_looking_classes(df: DataFrame, id_col: str, text_col: str, order_col: str, folder: Folder | None = None) -> DataFrame:
+    """(id, class_id, variant_id, links): one row per id, with the least id of its class (equal in
+    consistent form) and of its variant (equal as stored), and the number of ids of the class whose
+    text differs as stored.
+
+    The latest delivery of an id counts; ids with a null text have no row.
+    """
+    from rhetorica.llm.frequency import latest
+    from rhetorica.sources.tables import stored
+
+    one = latest(df.withColumn(id_col, F.col(id_col).cast("bigint")), id_col, [text_col], order_col).where(F.col(text_col).isNotNull())
+    odd = F.col(text_col).rlike(r"[^\x00-\x7F]")
+    formed = one.where(odd).select("id", F.col(text_col).alias("t"), consistent(F.col(text_col), folder).alias("f")).unionByName(one.where(~odd).select("id", F.col(text_col).alias("t"), F.col(text_col).alias("f")))
+    rows = stored(formed.select("id", F.xxhash64("f").alias("f1"), F.xxhash64(F.lit("second"), "f").alias("f2"), F.xxhash64("t").alias("v")), "form-classes")
+    variants = rows.groupBy("f1", "f2", "v").agg(F.count(F.lit(1)).alias("own"), F.min("id").alias("variant_id"))
+    classes = variants.groupBy("f1", "f2").agg(F.sum("own").alias("every"), F.min("variant_id").alias("class_id"), F.count(F.lit(1)).alias("variants"))
+    several = variants.join(classes.where("variants > 1"), ["f1", "f2"]).select("f1", "f2", "v", "class_id", "variant_id", (F.col("every") - F.col("own")).alias("links"))
+    alone = variants.join(classes.where("variants = 1"), ["f1", "f2"], "left_semi").select("f1", "f2", "v", F.col("variant_id").alias("class_id"), "variant_id", F.lit(0).cast("bigint").alias("links"))
+    return rows.join(several.unionByName(alone), ["f1", "f2", "v"]).select("id", "class_id", "variant_id", "links")

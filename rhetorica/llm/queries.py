@@ -61,6 +61,15 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return latest(rows, "row_id", ["sent"], "loaded_at").select(F.col("id").alias("row_id"), forms.consistent(F.col("sent"), fold).alias("form"))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per sentence with its class of same-looking texts and its number of links in it."""
+    from rhetorica.llm import forms
+
+    rows = table(spark, d, "clean_sents")
+    fold = forms.Folder(forms.collection_counts(rows, table(spark, d, "processed")))
+    return forms.same_looking_classes(rows, "row_id", "sent", "loaded_at", fold).withColumnRenamed("id", "row_id")
+
+
 def p3_tokens(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every token of every processed stretch, sentence marks included: one row
     per ``proc_id``, stored sentence and place in it, both from 1. A null token has a null form."""

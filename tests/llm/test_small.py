@@ -38,6 +38,30 @@ def test_form_is_stable_and_pickles():
         assert f(f(s)) == f(s) and unicodedata.is_normalized("NFKC", f(s))
 
 
+def test_patterns_are_strings_as_stored():
+    f = forms.Folder()
+    table = {s: p for s, p in f.members.items() if len(s) > 1}
+    assert table["е\u0301"]["LATIN"] == "é" and f.members["ό"]["LATIN"] == "ó"
+    found = [(end, n, to) for end, (n, to) in f.automata["LATIN"].iter_long("cafе\u0301ѐ")]
+    assert (4, 2, "é") in found and (5, 1, "è") in found
+    assert f("cafе\u0301") == "café" and f("ｍеｎ") == "men" and f("ﬁкѕ") == "fiks" and f("ϲar") == "car" and f("ὀle") == "o\u0313le"
+    assert f.automata["CYRILLIC"].get("ｏ")[1] == "о" and f("жｏж") == "жож" and f("жﬁж") == "жfіж"
+
+
+def test_counts_decide_the_representative():
+    rare, frequent = forms.Folder({"ı": 1, "i": 9}), forms.Folder({"ı": 9, "i": 1})
+    assert rare("fіn") == "fin" and frequent("fіn") == "fın"
+    assert forms.Folder({"а": 50})("оa") == "оа" and forms.Folder({"q": 50})("оa") == "oa"
+
+
+def test_same_looking_classes(spark):
+    rows = [(1, "the cat", NOW), (2, "thе cat", NOW), (3, "the cat", NOW), (4, "ｔｈｅ cat", NOW), (4, "ｔｈｅ cat", NOW), (4, "old", NOW - timedelta(1)), (5, None, NOW), (6, "", None), (7, "​", NOW), (8, "The cat", NOW), (None, "the cat", NOW)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "row_id bigint, sent string, loaded_at timestamp, links int")
+    got = {r.id: (r.class_id, r.variant_id, r.links) for r in forms.same_looking_classes(df, "row_id", "sent", "loaded_at").collect()}
+    assert got == {1: (1, 1, 2), 2: (1, 2, 3), 3: (1, 1, 2), 4: (1, 4, 3), 6: (6, 6, 1), 7: (6, 7, 1), 8: (8, 8, 0)}
+    assert forms.same_looking_classes(df.limit(0), "row_id", "sent", "loaded_at").count() == 0
+
+
 def test_union_find_is_transitive():
     c = forms.Classes()
     c.join("a", "b"), c.join("c", "d"), c.join("b", "c"), c.join("x", "y")
@@ -442,10 +466,8 @@ def test_leaks(spark):
         wide = lambda w: [w[k : k + 12] for k in range(len(w) - 11)]
         assert min(brute_distance(x, y) for x in wide(a) for y in wide(b) if len(set(x) & set(y)) >= 9) <= r.distance <= 2
     assert leakage.leaks(df.limit(0), it).count() == 0 and leakage.leaks(df, it.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        leakage.leaks(df, it, limit=3)
-    blocks = leakage.item_blocks(items, 150)
-    assert len(blocks) > 3 and [x for b in blocks for x in b] == items and leakage.item_blocks([]) == []
+    in_blocks = leakage.leaks(df, it, most_edits=0, block_windows=500)
+    assert {(r.doc_id, r.item_id) for r in in_blocks.collect()} == exact
 
 
 @pytest.mark.parametrize("edits", [1, 2])
@@ -471,6 +493,9 @@ def test_recall_of_edited_passages(edits):
     ident, walk, lengths = leakage.word_hashes(texts, {})
     start, text = leakage.window_starts(lengths, 12 - edits)
     x, y = index.candidates(ident, walk, start, np.minimum(start + 12, np.cumsum(lengths)[text]))
+    plausible = index.plausible(ident, start, np.cumsum(lengths)[text], edits)  # leaves out no match
+    first = {i: k for k, i in reversed(list(enumerate(text.tolist())))}
+    assert all(plausible[first[i] + 3 : first[i] + 4 + edits].any() for i in range(len(texts)))
     hits = set(text[x][text[x] == index.item[y]].tolist())
     for i, kind in enumerate(case):
         total[kind] += 1
