@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import deque
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -45,14 +46,28 @@ GERMAN_BEFORE_ORDINAL = set("am im vom zum der dem den des die bis seit ab".spli
 OPENERS = set("\"'“‘„«‹([{「『（【《¿¡")
 CLOSERS = set("\"'”’“»›)]}」』）】》")
 PAIRS = {")": "(", "]": "[", "}": "{", "」": "「", "』": "『", "）": "（", "】": "【", "》": "《", "»": "«", "›": "‹"}
-STOPS = set(".!?…。！？．｡।॥؟۔")
-WIDE_STOPS = set("。！？｡")
-# A text that doesn't match has one sentence at most: a stop before a letter or digit with other characters
-# between, before a capital or a character beyond ASCII; a wide stop; Thai.
-SEVERAL = r"[.!?…．][^\p{L}\p{N}]+[\p{L}\p{N}]|[.!?…．](?:\p{Lu}|[^\x00-\x7F])|[。！？｡।॥؟۔]|[\u0E00-\u0E7F]"
-MOST_SPANS = 48  # possible ends that a span may reach over; beyond that a closing mark always ends one
-
-_THAI = re.compile(r"[฀-๿]")
+# Marks that end sentences. Full ones end nothing else; wide ones need no space after them.
+FULL_STOPS = "!?。！？｡।॥؟۔։።፧။។៕།༎༏᠃꘎꛳"
+STOPS = set(".…．" + FULL_STOPS)
+WIDE_STOPS = set("。！？｡።፧။។៕།༎༏")
+# Words that go on with a sentence after a space, in scripts that put spaces between clauses.
+GOES_ON = ("และ", "หรือ", "แต่", "ที่", "ซึ่ง", "ว่า", "เพราะ", "โดย", "เพื่อ", "จึง", "กับ", "ແລະ", "ຫຼື", "ແຕ່", "ທີ່", "ເພາະ")
+SHORT_CLAUSE = 6  # letters before a space between clauses, below which it rather parts a name or a list
+_MARKS = "".join(STOPS | CLOSERS)
+LONG = 60  # words from which the length of a span counts against it
+
+_CLAUSES = re.compile(r"[\u0E00-\u0EFF]")  # Thai and Lao: spaces may end sentences
+
+
+def _several() -> str:
+    """A pattern (of Java) that every text with two sentences matches: a stop before anything but
+    closing marks, spaces and stops, or a script that ends sentences with spaces."""
+    at = lambda cps: "".join(f"\\x{{{ord(c):X}}}" for c in cps)
+    stops = {chr(c) for c in range(0x20000) if STOPS.intersection(unicodedata.normalize("NFKC", chr(c))) or chr(c) in STOPS}
+    wide = {c for c in stops if WIDE_STOPS.intersection(unicodedata.normalize("NFKC", c)) or c in WIDE_STOPS}
+    skip = rf"\s\p{{Z}}\p{{C}}{at(sorted(stops | CLOSERS))}"
+    # the letters and digits of ASCII that may follow a stop within a word
+    return rf"[{at(sorted(stops))}](?![0-9a-z])[{skip}]*+[^{skip}]|[{at(sorted(wide))}][{skip}]*+[^{skip}]|[\u0E00-\u0EFF]"
 
 
 def _glued(part: str, i: int) -> bool:
@@ -88,7 +103,7 @@ def _closing(word: str, prev: str) -> float:
     if not word:
         return -4.0
     last = word[-1]
-    if last in "!?。！？｡।॥؟۔":
+    if last in FULL_STOPS:
         return 4.0
     if last == "…" or word.endswith(".."):
         return 0.5
@@ -133,7 +148,7 @@ def _opening(word: str, cased: bool, after_clock: bool) -> float:
         return -9.0
     if after_clock and low in NEVER_OPEN_AFTER_CLOCK:
         return -6.0
-    if word[0] in STOPS:
+    if word[0] in STOPS or not word.strip(_MARKS):
         return -9.0
     if word[0] == "と":
         return -9.0
@@ -178,50 +193,81 @@ class Spans:
             self.depth.append(depth)
             self.quotes.append(quotes)
 
-    def first_core(self, i: int, j: int) -> str:
-        while i < j and not self.core[i]:
-            i += 1
-        return self.core[i] if i < j else ""
-
-    def last_core(self, i: int, j: int) -> int:
-        k = j - 1
-        while k >= i and not self.core[k]:
-            k -= 1
-        return k
-
-    def score(self, i: int, j: int, closing_bonus: float) -> float:
-        """Of the span of tokens i to j (without j)."""
-        k = self.last_core(i, j)
-        if k < i:
-            return -20.0
-        s = closing_bonus if closing_bonus is not None else 0.0
-        if j < self.n:
-            if closing_bonus is None:
-                s += _closing(self.core[k], self.core[k - 1] if k > i else "")
-        if i > 0:
-            p = self.last_core(0, i)
-            before = self.core[p].lower().rstrip(".") if p >= 0 else ""
-            s += _opening(self.first_core(i, j), self.cased, before in CLOCK_ENDS)
-        words = j - i
-        s -= 1.5 if words < 2 else 0.0
-        s -= 1.0  # each span costs a little, so that doubtful ends don't count
-        s -= 0.02 * max(0, words - 60)
-        if self.depth[j] != self.depth[i]:
-            s -= 6.0
-        if (self.quotes[j] - self.quotes[i]) % 2:
-            s -= 6.0
+        self.before, self.after = [-1], [self.n] * (self.n + 1)  # last token with a word before, first one from a place on
+        for k in range(self.n):
+            self.before.append(k if self.core[k] else self.before[-1])
+        for k in range(self.n - 1, -1, -1):
+            self.after[k] = k if self.core[k] else self.after[k + 1]
+
+    def opening(self, i: int) -> int:
+        """Score, in hundredths, of a span that begins at token i."""
+        if i == 0:
+            return 0
+        p, k = self.before[i], self.after[i]
+        before = self.core[p].lower().rstrip(".") if p >= 0 else ""
+        return round(100 * _opening(self.core[k] if k < self.n else "", self.cased, before in CLOCK_ENDS))
+
+    def closing(self, i: int, j: int, bonus: float | None) -> int:
+        """Score, in hundredths, of a span from token i that ends before token j."""
+        k = self.before[j]
+        if bonus is not None or j >= self.n:
+            return round(100 * (bonus or 0.0))
+        return round(100 * _closing(self.core[k], self.core[k - 1] if k > i else ""))
+
+    def score(self, i: int, j: int, bonus: float | None) -> int:
+        """Score, in hundredths, of the span of tokens i to j (without j)."""
+        if self.before[j] < i:
+            return -2000
+        s = self.opening(i) + self.closing(i, j, bonus) - 100  # each span costs a little, so that doubtful ends don't count
+        s -= 150 if j - i < 2 else 0
+        s -= 2 * max(0, j - i - LONG)
+        s -= 600 if self.depth[j] != self.depth[i] else 0
+        s -= 600 if (self.quotes[j] - self.quotes[i]) % 2 else 0
         return s
 
 
 def best_ends(spans: Spans, ends: list[int], bonus: dict[int, float]) -> list[int]:
-    """The ends (token positions) of the best sequence of spans, the last one included."""
-    points = [0, *ends, spans.n] if not ends or ends[-1] != spans.n else [0, *ends]
-    best, back = [0.0] + [float("-inf")] * (len(points) - 1), [0] * len(points)
+    """The ends (token positions) of the best sequence of spans, the last one included.
+
+    Every span between two possible ends counts, however far apart. What a span's score takes from
+    its beginning doesn't depend on its end, but for the balance of marks and the length. So for
+    each state of balance the best beginning is kept: of the last LONG words in a queue of falling
+    values, and of all earlier ones, where each word costs the same, as one value. Only beginnings
+    at the span's last word are scored one by one. Among equals the earliest beginning is taken.
+    """
+    points = [0, *ends] if ends and ends[-1] == spans.n else [0, *ends, spans.n]
+    best, back = [0] * len(points), [0] * len(points)
+    near: dict[tuple, deque] = {}  # state -> (value, beginning)
+    far: dict[tuple, tuple[int, int]] = {}  # state -> (value and twice the place, minus the beginning)
+    held = 0  # beginnings in the queues
     for b in range(1, len(points)):
-        for a in range(max(0, b - MOST_SPANS), b):
-            s = best[a] + spans.score(points[a], points[b], bonus.get(points[b]))
-            if s > best[b]:
-                best[b], back[b] = s, a
+        j = points[b]
+        while held < b and points[held] < spans.before[j]:
+            i = points[held]
+            value, d, q = best[held] + spans.opening(i), spans.depth[i], spans.quotes[i] % 2
+            for state in ((d, q), (d, None), (None, q), (None, None)):
+                queue = near.setdefault(state, deque())
+                while queue and queue[-1][0] < value:
+                    queue.pop()
+                queue.append((value, held))
+            held += 1
+        top = None
+        if held:
+            end = spans.closing(0 if spans.before[j] else j, j, bonus.get(j)) - 100
+            d, q = spans.depth[j], spans.quotes[j] % 2
+            for state, cost in (((d, q), 0), ((d, None), 600), ((None, q), 600), ((None, None), 1200)):
+                queue = near.get(state)
+                while queue and j - points[queue[0][1]] > LONG:
+                    value, a = queue.popleft()
+                    far[state] = max(far.get(state, (-(10**12), 0)), (value + 2 * points[a], -a))
+                if queue:
+                    top = max(top or (-(10**12), 0), (queue[0][0] + end - cost, -queue[0][1]))
+                if state in far:
+                    top = max(top or (-(10**12), 0), (far[state][0] - 2 * (j - LONG) + end - cost, far[state][1]))
+        for a in range(held, b):
+            s = (best[a] + spans.score(points[a], j, bonus.get(j)), -a)
+            top = s if top is None else max(top, s)
+        best[b], back[b] = top[0], -top[1]
     out, b = [], len(points) - 1
     while b:
         out.append(points[b])
@@ -229,6 +275,11 @@ def best_ends(spans: Spans, ends: list[int], bonus: dict[int, float]) -> list[in
     return out[::-1]
 
 
+def _clause_end(left: str, right: str) -> float:
+    """Score of a space between two clauses of a script without stops."""
+    return -2.0 if right.startswith(GOES_ON) or len(left) < SHORT_CLAUSE else 3.0
+
+
 def split_text(text: str | None) -> list[int]:
     """1-based positions, in code points, of the last character of each sentence that another one
     follows. Null, empty and blank texts have none."""
@@ -236,7 +287,7 @@ def split_text(text: str | None) -> list[int]:
         return []
     same = text.translate(_SAME)
     tokens, stops, at, bonus, ends = [], [], 0, {}, []
-    thai = bool(_THAI.search(same))
+    clauses = bool(_CLAUSES.search(same))
     for m in re.finditer(r"[^ ]+", same):
         part, start = m[0], m.start()
         cut = 0
@@ -261,9 +312,9 @@ def split_text(text: str | None) -> list[int]:
         w = words[k].rstrip("".join(CLOSERS))
         if w and w[-1] in STOPS:
             ends.append(k + 1)
-        elif thai and w and _THAI.match(w[-1]) and _THAI.match(words[k + 1][:1]):
+        elif clauses and w and _CLAUSES.match(w[-1]) and _CLAUSES.match(words[k + 1][:1]):
             ends.append(k + 1)
-            bonus[k + 1] = 3.0
+            bonus[k + 1] = _clause_end(w, words[k + 1])
     if not ends:
         return []
     spans = Spans(words, cased)
@@ -284,7 +335,7 @@ def split_tokens(tokens: list[str]) -> list[int]:
         return []
     words = [_lexical(t) for t in tokens]
     ends, bonus = [], {}
-    thai = any(_THAI.match(w[:1] or " ") for w in words)
+    clauses = any(_CLAUSES.match(w[:1] or " ") for w in words)
     open_quote = False
     for k, w in enumerate(words):
         if w == '"':
@@ -312,9 +363,9 @@ def split_tokens(tokens: list[str]) -> list[int]:
         elif w in CLOSERS and any(e == k for e in ends) or w in CLOSERS and k and words[k - 1] in STOPS:
             ends.append(k + 1)
             bonus[k + 1] = 4.0 if words[k - 1] in STOPS else 2.0
-        elif thai and _THAI.match(w[-1]) and nxt and _THAI.match(nxt[0]):
+        elif clauses and _CLAUSES.match(w[-1]) and nxt and _CLAUSES.match(nxt[0]):
             ends.append(k + 1)
-            bonus[k + 1] = 3.0
+            bonus[k + 1] = _clause_end(w, nxt)
     if not ends:
         return []
     return best_ends(Spans(words, False), sorted(set(ends)), bonus)[:-1]
@@ -342,10 +393,10 @@ def _rows(df: DataFrame, id_col: str, value: str, split, kind: str) -> DataFrame
 def text_ends(df: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
     """(src, id, end_at) of each sentence end that another sentence follows in the same text.
 
-    Repeated rows of an id give each end once. Texts that hold no closing mark before another
-    character, nor Thai, have one sentence at most and aren't sent to Python.
+    Repeated rows of an id give each end once. Texts that hold no stop before anything else, nor a
+    script that ends sentences with spaces, have one sentence at most and aren't sent to Python.
     """
-    several = F.col(text_col).rlike(SEVERAL)
+    several = F.col(text_col).rlike(_several())
     return _rows(df.where(several), id_col, text_col, split_text, kind)
 
 

@@ -352,6 +352,47 @@ def test_positions_are_those_of_the_stored_text():
     assert [text[:e][-1] for e in ends] == ["．", "!"]
 
 
+@pytest.mark.parametrize(
+    "parts", [["នេះជាផ្ទះ។", "ខ្ញុំទៅ។"], ["ကျွန်တော်သွားမယ်။", " သူလာတယ်။"], ["ሰላም ነው።", " እንዴት ነህ፧", " ደህና።"], ["Ես գնում եմ։", " Նա եկավ։"], ["བཀྲ་ཤིས།", " བདེ་ལེགས།"]]
+)
+def test_other_scripts(parts):
+    text = "".join(parts)
+    assert sentences.split_text(text) == list(np.cumsum([len(p) for p in parts])[:-1])
+
+
+@pytest.mark.parametrize("n", [20, 60, 300])
+def test_spans_of_any_number_of_stops(n):
+    """Stops within brackets end nothing, however many there are."""
+    text = "He said (" + "it is so. " * n + "really) and left. Then we went."
+    assert sentences.split_text(text) == [len(text) - len(" Then we went.")]
+
+
+def test_best_ends_against_all_sequences():
+    rng = random.Random(11)
+    words = ["We", "go", "so.", "no!", '"', '"Yes."', "(it", "is.)", "Dr.", "3", "p.m.", "on", "and", "x", "..."]
+    for _ in range(300):
+        tokens = rng.choices(words, k=rng.randint(2, 9)) if rng.random() < 0.9 else rng.choices(words, k=4) + ["w"] * 70 + rng.choices(words, k=4)
+        ends = sorted(rng.sample(range(1, len(tokens)), min(len(tokens) - 1, rng.randint(1, 7))))
+        bonus = {e: rng.choice([3.0, -6.0]) for e in ends if rng.random() < 0.2}
+        spans = sentences.Spans(tokens, rng.random() < 0.5)
+        total = lambda cut: sum(spans.score(a, b, bonus.get(b)) for a, b in zip([0, *cut], [*cut, len(tokens)]))
+        got = sentences.best_ends(spans, ends, bonus)
+        assert got[-1] == len(tokens) and total(got[:-1]) == max(total(c) for k in range(len(ends) + 1) for c in combinations(ends, k))
+
+
+def test_the_filter_leaves_out_no_end(spark):
+    rng = random.Random(12)
+    bits = ["Great!", "🎉", "One.", "two", "Dr.", "4.5", "e.g.", " ", " ", ")", '"', "。", "中", "፧", "ሰ", "‼", "﹒", "А", "…", "​", "\n", "เรา", "a.b", "?X", "?x"]
+    texts = ["Great! 🎉", "Great! 🎉 Thanks"] + ["".join(rng.choices(bits, k=rng.randint(1, 7))) for _ in range(4_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, sent string")
+    got = {(r.id, r.end_at) for r in sentences.text_ends(rows, "row_id", "sent", "x").collect()}
+    assert got == {(i, e) for i, t in enumerate(texts) for e in sentences.split_text(t)} and (0, 6) in got
+
+
+def test_spaces_between_clauses():
+    assert sentences.split_text("เราต้องการสะพานใหม่ และเราต้องการตลาด") == []
+
+
 def test_thai():
     assert sentences.split_text("เราต้องการสะพาน ปิดมา 385 วันแล้ว พวกเขา") == [15, 33]
 
