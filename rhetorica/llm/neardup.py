@@ -10,7 +10,10 @@ candidates, and every candidate pair is verified by the exact Jaccard similarity
 Records with the same word set are one class from the start: only classes are banded and compared,
 so copies are never paired with each other on the way. Bands of two records can only lead to a
 pair if their set sizes allow the similarity, which is checked before anything is gathered.
-No bucket is capped: a large one is paired by a join, which AQE splits.
+No bucket is capped: a large one is paired by a join, which AQE splits. Buckets that hold a
+noticeable share of all classes are found beforehand from a sample of the classes and their rows
+are spread over all tasks instead of meeting in one; the sample only decides where rows go, never
+which pairs come out.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 UNIVERSE = 1 << 20
 ROWS = 8  # coordinates of a band
 WIDE = 2_000  # classes in one bucket, beyond which a join pairs them
+HOT_SAMPLE = 50_000  # classes, about, among which hot buckets are looked for
+HOT = 20  # of them in one bucket make it hot; buckets that are missed hold about a thousandth of the classes at most
 BANDS = 40  # a pair at similarity 0.78 is missed with a chance of 0.3 %, at 0.85 of 1e-6
 
 
@@ -113,11 +118,28 @@ def banded(sets: DataFrame, rows: int, bands: int) -> DataFrame:
     return sets.select("cls", "n", "words").mapInArrow(build, "key bigint, cls bigint, n int")
 
 
-def bucket_pairs(keyed: DataFrame, threshold: float, most: int = WIDE) -> DataFrame:
+def hot_keys(sets: DataFrame, rows: int, bands: int, sample: int = HOT_SAMPLE, hot: int = HOT) -> DataFrame | None:
+    """(key) of the bands that ``hot`` or more of about ``sample`` classes share, None if there are
+    none; at most ``sample * bands / hot`` keys."""
+    n = sets.count()
+    part = sets.where(F.pmod(F.xxhash64("cls"), F.lit(max(1, n // sample))) == 0)
+    found = [(r.key,) for r in banded(part, rows, bands).groupBy("key").count().where(F.col("count") >= hot).select("key").collect()]
+    return sets.sparkSession.createDataFrame(found, "key bigint") if found else None
+
+
+def spread(keyed: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(key, cls, n, hot), each key in one sorted partition but for the hot ones, which are spread by class."""
+    if hot is None:
+        return keyed.withColumn("hot", F.lit(False)).repartition("key").sortWithinPartitions("key")
+    marked = keyed.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left").select("key", "cls", "n", F.coalesce("hot", F.lit(False)).alias("hot"))  # the number of hot keys is bounded
+    return marked.repartition(F.when(F.col("hot"), F.xxhash64("key", "cls")).otherwise(F.col("key"))).sortWithinPartitions("hot", "key")
+
+
+def bucket_pairs(keyed: DataFrame, threshold: float, most: int = WIDE, hot: DataFrame | None = None) -> DataFrame:
     """(cls_a, cls_b) of classes that share a band and whose sizes allow the similarity, repeats included.
 
     One shuffle by key, then each sorted partition is read run by run. A bucket of more than
-    ``most`` classes leaves its task as it came and is paired by a join, which AQE can split.
+    ``most`` classes, and a hot one, leaves its task as it came and is paired by a join, which AQE can split.
     """
     from rhetorica.sources.tables import stored
 
@@ -152,7 +174,12 @@ def bucket_pairs(keyed: DataFrame, threshold: float, most: int = WIDE) -> DataFr
                 yield out(cls[many], pa.nulls(int(many.sum()), pa.int64()), pa.array(key[many]), pa.array(n[many], pa.int32()))
 
         for b in batches:
-            key, cls, n = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns))
+            late = b.column(3).to_numpy(zero_copy_only=False)
+            if late.any():  # these come last in a partition
+                k, c, m = (x.to_numpy()[late] for x in b.columns[:3])
+                yield out(c, pa.nulls(len(c), pa.int64()), pa.array(k), pa.array(m, pa.int32()))
+                b = b.filter(pa.array(~late))
+            key, cls, n = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns[:3]))
             if not len(key):
                 continue
             if wide is not None:
@@ -171,8 +198,7 @@ def bucket_pairs(keyed: DataFrame, threshold: float, most: int = WIDE) -> DataFr
                 held = [x[:0] for x in held]
         yield from close(*held)
 
-    sorted_keys = keyed.repartition("key").sortWithinPartitions("key")
-    got = stored(sorted_keys.mapInArrow(pair, "cls_a bigint, cls_b bigint, key bigint, n int"), "bucket-pairs")
+    got = stored(spread(keyed, hot).mapInArrow(pair, "cls_a bigint, cls_b bigint, key bigint, n int"), "bucket-pairs")
     wide = got.where("cls_b is null").select("key", F.col("cls_a").alias("cls"), "n")
     fits = F.expr("x.cls < y.cls") & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9)
     joined = wide.alias("x").join(wide.alias("y"), F.expr("x.key = y.key")).where(fits).select(F.col("x.cls").alias("cls_a"), F.col("y.cls").alias("cls_b"))
@@ -211,7 +237,7 @@ class Links:
         return self.members.join(per.join(named, "root").drop("root"), "cls").select("id", "class_id", "group_id", "links")
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, least_words: int = 1, rows: int = ROWS, bands: int = BANDS, wide: int = WIDE) -> Links:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, least_words: int = 1, rows: int = ROWS, bands: int = BANDS, wide: int = WIDE, hot: int = HOT) -> Links:
     """Links between texts whose sets of words have a Jaccard similarity of ``threshold`` or more.
 
     Repeated deliveries of an id count once; null texts and texts with fewer than ``least_words``
@@ -222,9 +248,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
 
     every = stored(word_sets(df, id_col, text_col, max(least_words, 1)), "word-sets")
     members = every.select("id", "cls").distinct()
-    sets = every.select("cls", "n", "words").dropDuplicates(["cls"])
-    keyed = banded(sets, rows, bands)
-    candidates = stored(bucket_pairs(keyed, threshold, wide).distinct(), "candidates")
+    sets = every.select("cls", "n", "words").dropDuplicates(["cls"])  # read twice: of a sample, then whole
+    candidates = stored(bucket_pairs(banded(sets, rows, bands), threshold, wide, hot_keys(sets, rows, bands, hot=hot)).distinct(), "candidates")
     ends = candidates.select(F.col("cls_a").alias("cls")).unionByName(candidates.select(F.col("cls_b").alias("cls"))).distinct()
     used = every.select("cls", F.split("words", " ").alias("w")).join(ends, "cls", "left_semi").dropDuplicates(["cls"])
     used = stored(used, "candidate-sets")

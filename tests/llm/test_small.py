@@ -205,6 +205,23 @@ def test_near_duplicates_against_brute_force(spark, wide):
         assert empty.pairs().count() == 0 and empty.groups().count() == 0
 
 
+def test_hot_buckets_are_spread(spark):
+    """A bucket far wider than WIDE allows isn't sorted by one task, and no pair is lost."""
+    base = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(120)] + [(1000 + i, " ".join(f"y{i}a{k}" for k in range(25))) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id bigint, sent string")
+    sets = neardup.word_sets(df, "row_id", "sent", 22).select("cls", "n", "words")
+    hot = neardup.hot_keys(sets, neardup.ROWS, neardup.BANDS, hot=30)
+    placed = neardup.spread(neardup.banded(sets, neardup.ROWS, neardup.BANDS), hot).select("key", "hot", F.spark_partition_id().alias("part"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would end in one task
+    tasks = placed.groupBy("key", "hot").agg(F.countDistinct("part").alias("tasks"), F.count("part").alias("n")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert hot.count() == sum(r.hot for r in tasks) > 0 and all((r.tasks > 1) == r.hot for r in tasks if r.n > 10)
+    got = {tuple(r) for r in neardup.near_duplicates(df, "row_id", "sent", 0.78, 22, wide=5, hot=30).pairs().collect()}
+    assert got == set(combinations(range(120), 2))
+    assert neardup.hot_keys(sets.limit(0), neardup.ROWS, neardup.BANDS) is None
+
+
 def test_groups_of_all_languages_and_lengths(spark, tmp_path):
     long = [f"w{i}" for i in range(24)]
     rows = [(1, "eins zwei drei vier fünf", "de"), (2, "fünf vier drei zwei eins sechs", "de"), (3, "one two three", "en"), (4, "Three, two, one!", "en"), (5, "alone", "fr"), (6, " ".join(long), "en"), (7, " ".join([*long[:-1], "other"]), "en"), (8, None, "en"), (9, "...", "en")]
@@ -446,6 +463,14 @@ def test_packing(spark):
         assert all(n == 1 for i, n in pieces.items() if want[i] <= most)
         assert sum(want.values()) / (len(fill) * most) > 0.95
     assert {r.capacity_id for r in rows} == {1, 2}
+    split = packing.packed(df, caps, fan_in=2, node_containers=3).collect()  # nodes split by hash hold the same documents
+    keyed = lambda rs: Counter((r.capacity_id, r.doc_id, r.piece, r.tokens) for r in rs)
+    assert keyed(split) == keyed(rows)
+    fill = Counter()
+    for r in split:
+        if r.container is not None:
+            fill[r.capacity_id, r.container] += r.tokens
+    assert max(n for (c, _), n in fill.items() if c == 1) <= 64 and max(n for (c, _), n in fill.items() if c == 2) <= 500
     rep = {r.capacity_id: r for r in packing.fill_report(packing.packed(df, caps), caps).collect()}
     assert rep[2].unused < 0.05
     assert packing.packed(df.limit(0), caps).count() == 0 and packing.packed(df, caps.limit(0)).count() == 0
@@ -600,9 +625,26 @@ def test_held_out_accuracy_and_rates(spark):
     assert {r.source: (r.documents, r.abusive, r.rate) for r in abuse.rates(df, "source").collect()} == {"a": (2, 1, 0.5), None: (1, 0, 0.0)}
 
 
+def test_excerpts_and_landmarks():
+    text = " ".join(f"Sentence number {i} is here." for i in range(2_000))
+    cut = abuse.excerpt(text, 5_000)
+    assert 4_900 < len(cut) <= 5_000 and set(abuse.sentences_of(cut)) <= set(abuse.sentences_of(text)) and "number 1900 " in text
+    assert abuse.excerpt(text, 10**6) == text and len(abuse.excerpt("x" * 9_000, 5_000)) == 5_000
+    numbers = [int(x) for x in re.findall(r"number (\d+)", cut)]
+    assert numbers == sorted(numbers) and numbers[-1] > 1_500  # drawn from the whole text
+    texts = [f"{a}{b} word {b}{a}" for a in "bcdfghjkl" for b in "aeiou"]
+    few = abuse.different(texts, 10**6, block=7)
+    assert len(few) > 5 and few[:3] == abuse.different(texts, 3, block=50)[:3]
+    alike = abuse.kernel(few, few)
+    assert all(alike[i, :i].max(initial=0) < 0.7 * alike[i, i] for i in range(len(few)))
+
+
 def test_training_without_cases(spark):
     for docs in ([], [("Calm text.", 0.0)], [("Bad text.", 1.0)]):
         assert (abuse.train(docs).scores(["anything"]) < 0).all()
     labels = spark.createDataFrame([(1, 1), (1, None), (1, 0), (2, None), (None, 1), (3, 1)], "doc_id bigint, toxic int")
     docs = spark.createDataFrame([(1, "a"), (3, None), (4, "b")], "doc_id bigint, text string")
     assert abuse.labelled_texts(docs, labels) == [("a", 0.5)]
+    long = spark.createDataFrame([(1, "Go on now. " * 10_000), (3, "b")], "doc_id bigint, text string")
+    (a, _), (b, _) = abuse.labelled_texts(long, labels, chars=2_000)
+    assert 900 < len(a) <= 1_000 and b == "b"
