@@ -3,8 +3,9 @@
 Method: hierarchical residual packing. Every task measures its documents in tokens and packs them
 locally, best fit in decreasing order; containers that are nearly full are final. The others go up
 a tree: each node takes the open containers of ``fan_in`` nodes as items, packs them again by best
-fit, and passes on what is still open. A node passes on at most ``carry`` open containers, the
-emptiest; fuller ones are final as they are, so no node ever gets an unbounded group.
+fit, and passes on what is still open. A node that would get more than a bounded number of
+containers or of documents is split into several by a hash that differs from level to level, so no
+task ever gets an unbounded group, and nothing is closed early.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"  # a public rank file; not part of this repository
 NEARLY_FULL = 0.995
 FAN_IN = 8
-CARRY = 20_000
+NODE_CONTAINERS = 20_000  # containers that one task packs again
+NODE_ITEMS = 500_000  # documents and pieces in them
 _SCHEMA = "capacity_id bigint, container string, fill bigint, done boolean, node bigint, items array<struct<doc_id:bigint,piece:int,tokens:bigint>>"
 
 
@@ -84,15 +86,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["capacity_id", "container", "fill", "done", "node", "items"])
 
 
-def _emit(bins: list[tuple[int, list]], capacity_id: int, capacity: int, level: int, node: int, last: bool):
-    open_bins = [k for k, (fill, _) in enumerate(bins) if fill < NEARLY_FULL * capacity]
-    kept = set() if last else set(open_bins[-CARRY:])
-    rows = [(capacity_id, f"{level}-{node}-{k}", fill, k not in kept, node, held) for k, (fill, held) in enumerate(bins)]
+def _emit(bins: list[tuple[int, list]], capacity_id: int, capacity: int, name: str, node: int, last: bool):
+    rows = [(capacity_id, f"{name}-{k}", fill, last or fill >= NEARLY_FULL * capacity, node, held) for k, (fill, held) in enumerate(bins)]
     for k in range(0, len(rows), 2_000):
         yield _batch(rows[k : k + 2_000])
 
 
-def packed(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER, fan_in: int = FAN_IN, limit: int = 1_000) -> DataFrame:
+def packed(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER, fan_in: int = FAN_IN, limit: int = 1_000, node_containers: int = NODE_CONTAINERS) -> DataFrame:
     """(capacity_id, container, doc_id, piece, tokens): the container of every document, for every capacity.
 
     A document is in one piece unless it has more tokens than the capacity. Null and empty texts
@@ -100,7 +100,7 @@ def packed(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZ
     documents of their own. Capacities that are null or under 1 are left out; more than ``limit``
     capacities raise ValueError. Empty tables give no rows.
     """
-    from rhetorica.sources.tables import small_rows, stored
+    from rhetorica.sources.tables import sent_if_few, small_rows, stored
 
     sizes = [(r.capacity_id, r.max_tokens) for r in small_rows(capacities.where("max_tokens >= 1").select("capacity_id", "max_tokens").distinct(), limit, "capacities")]
 
@@ -112,7 +112,7 @@ def packed(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZ
         node = TaskContext.get().partitionId()
         for capacity_id, capacity in sizes:
             items = [p for i, n in docs if n for p in pieces(i, n, capacity)]
-            yield from _emit(pack(items, capacity), capacity_id, capacity, 0, node, False)
+            yield from _emit(pack(items, capacity), capacity_id, capacity, f"0-{node}", node, False)
             none = [(capacity_id, None, 0, True, node, [(i, 1, 0)]) for i, n in docs if not n]
             for k in range(0, len(none), 2_000):
                 yield _batch(none[k : k + 2_000])
@@ -121,10 +121,10 @@ def packed(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZ
         capacity_of = dict(sizes)
 
         def node_of(table: pa.Table) -> pa.Table:
-            capacity_id, node = table["capacity_id"][0].as_py(), table["node"][0].as_py()
+            capacity_id, node, part = (table[c][0].as_py() for c in ("capacity_id", "node", "part"))
             bins = [(f, [(x["doc_id"], x["piece"], x["tokens"]) for x in held]) for _, f, held in sorted(zip(table["container"].to_pylist(), table["fill"].to_pylist(), table["items"].to_pylist()), key=lambda r: (r[1], r[0]))]
             again = pack(bins, capacity_of[capacity_id])
-            return pa.Table.from_batches(list(_emit(again, capacity_id, capacity_of[capacity_id], level, node, last)))
+            return pa.Table.from_batches(list(_emit(again, capacity_id, capacity_of[capacity_id], f"{level}-{node}-{part}", node, last)))
 
         return node_of
 
@@ -134,7 +134,10 @@ def packed(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZ
     while True:
         level, nodes = level + 1, -(-nodes // fan_in)
         up = made[-1].where("not done").withColumn("node", F.floor(F.col("node") / fan_in))
-        made.append(stored(up.groupBy("capacity_id", "node").applyInArrow(merge(level, nodes == 1), _SCHEMA), f"bins-{level}"))
+        parts = F.ceil(F.greatest(F.count(F.lit(1)) / node_containers, F.sum(F.size("items")) / NODE_ITEMS))
+        up = up.join(sent_if_few(up.groupBy("capacity_id", "node").agg(parts.alias("parts"))), ["capacity_id", "node"])
+        up = up.withColumn("part", F.pmod(F.xxhash64(F.lit(level), "container"), "parts")).drop("parts")
+        made.append(stored(up.groupBy("capacity_id", "node", "part").applyInArrow(merge(level, nodes == 1), _SCHEMA), f"bins-{level}"))
         if nodes == 1:
             break
     final = made[0].where("done")
