@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,8 @@ SHARED = 32  # landmarks that share a subsequence, from which it is treated as a
 POSITIVE = 2.0  # weight of an abusive sentence against a harmless one that occurs once
 LANDMARKS = 600
 MOST_DOCUMENTS = 12_000  # labelled documents used for training, at most; the rest only by chance of their hash
-TRAIN_CHARS = 20_000  # longer documents aren't used for training
+TRAIN_CHARS = 20_000  # characters of a document used for training; of longer ones, sentences are drawn by their hash
+MOST_CHARS = 100_000_000  # characters of all of them together
 MOST_SENTENCES = 24_000  # sentences of unmarked documents used for training, at most, the most frequent first
 SHAPES = [(0, *rest) for rest in combinations(range(1, REACH), ORDER - 1)]
 _DIGIT = re.compile(r"\d+")
@@ -228,13 +229,7 @@ def train(docs: list[tuple[str, float]], landmarks: int = LANDMARKS, c: float =
     # long as they differ from each other, and a sample of harmless ones.
     odds = own_kind(suspects, pick(clean, 4 * len(suspects)))
     best = sorted((i for b in range(len(bad)) for own in [np.flatnonzero(bag_of == b)] for i in own[np.argsort(-odds[own])[:2]]), key=lambda i: -odds[i])
-    front = distinct_texts(suspects[i] for i in best)[:1_500]
-    alike = kernel(front, front)
-    taken: list[int] = []
-    for i in range(len(front)):
-        if len(taken) < landmarks - half // 2 and (not taken or alike[i, taken].max() < 0.7 * alike[i, i]):
-            taken.append(i)
-    marks = [front[i] for i in taken] + pick(clean, half)
+    marks = different(distinct_texts(suspects[i] for i in best), landmarks - half // 2) + pick(clean, half)
     k = kernel(marks, marks).astype(np.float64)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     keep = values > 1e-3 * values[-1]
@@ -261,6 +256,23 @@ def train(docs: list[tuple[str, float]], landmarks: int = LANDMARKS, c: float =
     return Model(table.astype(np.float32), bias)
 
 
+def different(texts: list[str], n: int, block: int = 500) -> list[str]:
+    """The first ``n`` texts, in order, that aren't much like one taken before; in blocks, until there are enough."""
+    taken: list[str] = []
+    for lo in range(0, len(texts), block):
+        part = texts[lo : lo + block]
+        among = kernel(part, part)
+        before = kernel(part, taken).max(axis=1) if taken else np.zeros(len(part))
+        new: list[int] = []
+        for i in range(len(part)):
+            if len(taken) + len(new) < n and max(before[i], among[i, new].max() if new else 0) < 0.7 * among[i, i]:
+                new.append(i)
+        taken += [part[i] for i in new]
+        if len(taken) >= n:
+            break
+    return taken
+
+
 def own_kind(texts: list[str], others: list[str]) -> np.ndarray:
     """Mean log-odds of a text's subsequences among ``texts`` against ``others``."""
 
@@ -284,14 +296,31 @@ def distinct_texts(texts: Iterable[str]) -> list[str]:
     return list(dict.fromkeys(texts))
 
 
-def labelled_texts(documents: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS) -> list[tuple[str, float]]:
+def excerpt(text: str, most: int) -> str:
+    """The text, or if it is longer than ``most`` characters as many of its sentences as fit, by the
+    order of their hashes, in the order of the text; a sentence that is longer by itself is cut."""
+    if len(text) <= most:
+        return text
+    parts = [p for p in _CUT.split(text) if p]
+    room, kept = most, []
+    for i in sorted(range(len(parts)), key=lambda i: (xxhash.xxh3_64_intdigest(parts[i]), i)):
+        if len(parts[i]) < room:
+            kept.append(i)
+            room -= len(parts[i]) + 1
+    return "\n".join(parts[i] for i in sorted(kept)) or text[:most]
+
+
+def labelled_texts(documents: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS, chars: int = MOST_CHARS) -> list[tuple[str, float]]:
     """Texts of at most ``most`` labelled documents, chosen by a hash of their id, with the share
-    of reviewers that marked them. Null texts, null marks and texts of more than TRAIN_CHARS
-    characters are left out."""
+    of reviewers that marked them: whole up to TRAIN_CHARS characters or an equal share of ``chars``,
+    else an excerpt of that size. Null texts and null marks are left out."""
     mark = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("m"))
     mark = mark.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most ``most`` rows of two numbers, so it can be broadcast
-    rows = documents.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(mark), "doc_id").select("doc_id", "text", "m").collect()
-    return [(r.text, float(r.m)) for r in sorted(rows, key=lambda r: r.doc_id)]
+    share = min(TRAIN_CHARS, chars // max(1, mark.count()))
+    short = F.pandas_udf(lambda s: s.map(lambda t: excerpt(t, share)), "string")
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(mark), "doc_id").select("doc_id", "text", "m")
+    cut = rows.where(F.length("text") <= share).unionByName(rows.where(F.length("text") > share).withColumn("text", short("text")))
+    return [(r.text, float(r.m)) for r in sorted(cut.collect(), key=lambda r: (r.doc_id, r.text))]
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
