@@ -25,6 +25,7 @@ from rhetorica.llm.forms import Folder, default_folder
 
 NEW_EDGES = 1_500_000  # edges that a task gathers before it drops repeated ones
 MOST_EDGES = 3_000_000  # distinct edges that a task holds before it emits them
+MOST_WORDS = 1_000_000  # different words that a task holds before it emits its edges
 MASK = (1 << 24) - 1
 SALT = 8  # parts of a frequent term's edges
 
@@ -85,7 +86,7 @@ def edges(df: DataFrame, record_col: str, text_col: str, window: int = 3) -> Dat
                 new.append(rec[alone] | code[alone] << 24 | code[alone])
                 if n >= NEW_EDGES:
                     seen, new, n = distinct(np.concatenate([seen, *new])), [], 0
-                if len(seen) >= MOST_EDGES or len(vocab) > MASK - 1_000_000 or len(recs) > 30_000:
+                if len(seen) >= MOST_EDGES or len(vocab) > MOST_WORDS or len(recs) > 30_000:
                     seen = distinct(np.concatenate([seen, *new]))
                     yield from flush()
                     seen, new, n, vocab, recs = seen[:0], [], 0, {}, {}
