@@ -80,7 +80,8 @@ VISIBLE_FORMATS = {0x600, 0x601, 0x602, 0x603, 0x604, 0x605, 0x6DD, 0x70F, 0x890
 OTHER_INVISIBLE = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 
 WORD = re.compile(r"[^\W_]+")
-_LETTER_RUN = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
+# Runs of letters and marks that aren't all of ASCII.
+_LETTER_RUN = re.compile(r"(?<![A-Za-z])[A-Za-z]*+(?:[^\W\d_A-Za-z]|[\u0300-\u036f])[^\W\d_]*(?:[\u0300-\u036f]+[^\W\d_]*)*")
 
 
 class Classes:
@@ -237,7 +238,7 @@ class Folder:
             return text
         t = text.translate(self._drop)
         if not t.isascii():
-            t = unicodedata.normalize("NFKC", _LETTER_RUN.sub(lambda m: m[0] if m[0].isascii() else self.word(m[0]), t))
+            t = unicodedata.normalize("NFKC", _LETTER_RUN.sub(lambda m: self.word(m[0]), t))
         return t
 
 
