@@ -35,7 +35,8 @@ BESIDE = "audience audiences member members crowd crowds he she they it someone
 TITLES = "mr mrs ms miss dr prof professor sen senator gov governor rep representative congressman congresswoman president vice secretary mayor sir madam moderator gen lt".split()
 CROWD = "audience member members crowd".split()
 
-_TOKEN = re.compile(rf"{CLOCK}|-->|>>+|<v\b(?:\.[\w.]+)?|\d+|[^\W\d_]+(?:['’.-][^\W\d_]+)*|\t|\S")
+_WORD = r"[^\W\d_]+(?:['’.-][^\W\d_]+)*"
+_TOKEN = re.compile(rf"{CLOCK}|-->|>>+|<v\b(?:\.[\w.]+)?|\d+|{_WORD}(?: +{_WORD})*|\t|\S")  # a run of words is one token
 _TIME = re.compile(CLOCK)
 _BEFORE = re.compile(rf"(?:\s*(?:[(\[]?(?P<at>{CLOCK})[)\]]?|>>+|<v\b(?:\.[\w.]+)?|\d+[.)](?=\s)|[-–—|•]))*\s*")
 _NOTE = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>|\*[^*\n]+\*|♪[^♪\n]*♪|♪")
@@ -69,7 +70,7 @@ class TokenTree:
         path = [_TIME.sub(AT, line[:before]).strip()]
         for m in _TOKEN.finditer(line, before):
             k = self.kind(m[0])
-            if k == "<word>" == path[-1] and len(path) > 1:  # a run of words is one slot
+            if k == "<word>" == path[-1] and len(path) > 1:
                 continue
             if len(path) > self.depth:
                 break
@@ -97,6 +98,8 @@ class Slots:
 
     def read(self, line: str) -> tuple[str, str | None, str] | None:
         """(label, clock time, text) of a line; None if it has no such slot."""
+        if self.closing != END and (":" if self.closing == AT else self.closing) not in line:
+            return None
         m = _BEFORE.match(line)
         start, at = m.end(), m["at"]
         if self.lead:
@@ -270,10 +273,12 @@ def clean(text: str) -> list[str]:
     text = _TIME.sub(" ", re.sub(rf"[(\[]{CLOCK}[)\]]", " ", text))
     out = []
     for piece in text.split():
-        core = _CORE.search(piece)
-        if core is None:  # neither letter nor digit
+        if piece.isalpha():
+            core = piece
+        elif core := _CORE.search(piece):
+            core = core[0]
+        else:  # neither letter nor digit
             continue
-        core = core[0]
         if core[0] not in "uUeEhHmMaA" or not _HESITATION.fullmatch(core.lower()):
             out.append(piece)
     return out
