@@ -208,7 +208,6 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, start: t
 def train(docs: list[tuple[str, float]], landmarks: int = LANDMARKS, c: float = 3.0, rounds: int = 6, most_sentences: int = MOST_SENTENCES, seed: int = 7) -> Model:
     """A model from (text, share of reviewers that marked it) pairs; without marked or without
     unmarked documents it never finds anything."""
-    rng = np.random.default_rng(seed)
     zero = Model(np.zeros(1 << BITS, np.float32), -1.0)
     bags = [(distinct_texts(sentences_of(t)), m) for t, m in docs]
     inside: Counter = Counter(s for ss, m in bags if m >= 0.5 for s in ss)
@@ -219,12 +218,13 @@ def train(docs: list[tuple[str, float]], landmarks: int = LANDMARKS, c: float =
     if not bad or not clean:
         return zero
     if len(clean) > most_sentences:
-        # those that occur most often first, among equals by chance
-        clean = [clean[i] for i in sorted(np.lexsort((rng.random(len(clean)), [-outside[s] for s in clean]))[:most_sentences])]
+        # those that occur most often first, among equals by their hash
+        clean = sorted(sorted(clean, key=lambda s: (-outside[s], xxhash.xxh3_64_intdigest(s, seed + 1), s))[:most_sentences])
     suspects = [s for b in bad for s in b]
     bag_of = np.repeat(np.arange(len(bad)), [len(b) for b in bad])
     half = landmarks // 2
-    pick = lambda xs, n: [xs[i] for i in sorted(rng.choice(len(xs), min(n, len(xs)), replace=False))]
+    # by hash, so that a sentence more or less doesn't change all the others
+    pick = lambda xs, n: sorted(xs, key=lambda x: (xxhash.xxh3_64_intdigest(x, seed), x))[:n]
     # Landmarks: of each marked document the sentences whose subsequences are most its own kind's, as
     # long as they differ from each other, and a sample of harmless ones.
     odds = own_kind(suspects, pick(clean, 4 * len(suspects)))
