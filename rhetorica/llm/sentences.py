@@ -17,7 +17,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rhetorica.llm.forms import OTHER_INVISIBLE, VISIBLE_FORMATS, default_folder, script_of
@@ -59,15 +59,21 @@ LONG = 60  # words from which the length of a span counts against it
 _CLAUSES = re.compile(r"[\u0E00-\u0EFF]")  # Thai and Lao: spaces may end sentences
 
 
-def _several() -> str:
-    """A pattern (of Java) that every text with two sentences matches: a stop before anything but
-    closing marks, spaces and stops, or a script that ends sentences with spaces."""
-    at = lambda cps: "".join(f"\\x{{{ord(c):X}}}" for c in cps)
-    stops = {chr(c) for c in range(0x20000) if STOPS.intersection(unicodedata.normalize("NFKC", chr(c))) or chr(c) in STOPS}
-    wide = {c for c in stops if WIDE_STOPS.intersection(unicodedata.normalize("NFKC", c)) or c in WIDE_STOPS}
-    skip = rf"\s\p{{Z}}\p{{C}}{at(sorted(stops | CLOSERS))}"
-    # the letters and digits of ASCII that may follow a stop within a word
-    return rf"[{at(sorted(stops))}](?![0-9a-z])[{skip}]*+[^{skip}]|[{at(sorted(wide))}][{skip}]*+[^{skip}]|[\u0E00-\u0EFF]"
+def _several(text: Column) -> Column:
+    """Whether a text may hold two sentences: a stop before anything but closing marks, spaces and
+    stops, or a script that ends sentences with spaces. Plain ASCII has a small pattern of its own."""
+    escaped = lambda cps: "".join(f"\\x{{{ord(c):X}}}" for c in sorted(cps))
+    forms = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x20000)}
+    stops = {c for c, n in forms.items() if c in STOPS or STOPS.intersection(n)}
+    wide = {c for c in stops if c in WIDE_STOPS or WIDE_STOPS.intersection(forms[c])}
+
+    def pattern(keep) -> str:
+        s, skip = escaped(filter(keep, stops)), r"\s\p{Z}\p{C}" + escaped(filter(keep, stops | CLOSERS))
+        return rf"[{s}](?![0-9a-z])[{skip}]*+[^{skip}]"  # a stop before these is within a word
+
+    skip = r"\s\p{Z}\p{C}" + escaped(stops | CLOSERS)
+    beyond = rf"{pattern(lambda c: True)}|[{escaped(wide)}][{skip}]*+[^{skip}]|[\u0E00-\u0EFF]"
+    return F.when(text.rlike(r"[^\x00-\x7F]"), text.rlike(beyond)).otherwise(text.rlike(pattern(str.isascii)))
 
 
 def _glued(part: str, i: int) -> bool:
@@ -396,8 +402,7 @@ def text_ends(df: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame
     Repeated rows of an id give each end once. Texts that hold no stop before anything else, nor a
     script that ends sentences with spaces, have one sentence at most and aren't sent to Python.
     """
-    several = F.col(text_col).rlike(_several())
-    return _rows(df.where(several), id_col, text_col, split_text, kind)
+    return _rows(df.where(_several(F.col(text_col))), id_col, text_col, split_text, kind)
 
 
 def token_ends(df: DataFrame, id_col: str, sents_col: str, kind: str) -> DataFrame:
