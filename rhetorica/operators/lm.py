@@ -4,6 +4,10 @@ The probability of a word after a context is ``(c + gamma) / (N + gamma * B)`` w
 seen, else the context's backoff weight times the probability after the shorter context; B is the
 number of different words seen at the order. Unknown words have ``gamma / (N + gamma * B)``.
 
+Orders are built one after another: the sums that a context needs come from an aggregation, which
+is combined before the shuffle, and are joined back, so no task gets all followers of a frequent
+word and AQE can split what is left of the skew. Joins go by two hashes (96 bits) instead of strings.
+
 Scoring uses a table of corrections. Starting from the unknown-word score of a model, each seen
 unigram, context and n-gram adds a fixed amount, so the score of a text is a sum over one equi-join
 of its grams with the corrections, whatever the order, and texts are never crossed with n-grams.
@@ -13,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rhetorica.operators import ngrams
@@ -64,30 +68,45 @@ class Model:
         return self.probs.where(F.col("ord") == self.n).groupBy("model").agg(F.lit(self.n).alias("n"), F.count(F.lit(1)).alias("grams"))
 
 
+def hashed(*columns) -> list[Column]:
+    """Two hashes of the columns that together stand for their values: 64 and 32 bits."""
+    return [F.xxhash64(*columns), F.hash(*columns)]
+
+
 def build(counts: DataFrame, n: int, gamma: float, keep: bool = True) -> Model:
     """A model per key from conditional counts of all orders; keep: write the probabilities to the
     shared folder, since several branches read them."""
     if gamma < 0:
         raise ValueError("gamma must not be negative")
-    bins = counts.groupBy("model", "ord", "tok").agg(F.lit(1)).groupBy("model", "ord").agg(F.count("tok").alias("b"))
-    if keep:
-        bins = stored(bins, "lm-bins")
-    context = Window.partitionBy("model", "ord", "ctx")
-    sized = counts.withColumn("total", F.sum("c").over(context)).join(sent_if_few(bins), ["model", "ord"])
-    probs = sized.select("model", "ord", "ctx", "tok", "c", ((F.col("c") + gamma) / (F.col("total") + gamma * F.col("b"))).alias("p"))
-    if keep:
-        probs = stored(probs, "lm-probs")
-    low = probs.where(F.col("ord") < n).select("model", (F.col("ord") + 1).alias("ord"), F.col("ctx").alias("tail"), "tok", F.col("p").alias("p_low"))
-    pairs = probs.where("ord > 1").withColumn("tail", shorter(F.col("ctx"))).join(low, ["model", "ord", "tail", "tok"])
-    over, under = 1 - F.sum("p").over(context), 1 - F.sum("p_low").over(context)
-    alpha = F.when(under <= FULL, F.lit(0.0)).otherwise(F.greatest(over, F.lit(0.0)) / under)
-    backed = pairs.select("model", "ord", "ctx", "tok", "p", "p_low", alpha.alias("alpha"))
-    if keep:
-        backed = stored(backed, "lm-backed")
-    alphas = backed.groupBy("model", "ord", "ctx").agg(F.max("alpha").alias("alpha"))
+    kept = stored if keep else lambda df, _: df
+    bins = kept(counts.select("model", "ord", "tok").distinct().groupBy("model", "ord").agg(F.count("tok").alias("b")), "lm-bins")
     tokens = counts.where("ord = 1").groupBy("model").agg(F.sum("c").alias("total"))
-    base = tokens.join(bins.where("ord = 1").select("model", "b"), "model").select("model", (gamma / (F.col("total") + gamma * F.col("b"))).alias("oov"))
-    return Model(n, gamma, probs, alphas, bins, stored(base, "lm-base") if keep else base, backed)
+    base = tokens.join(bins.where("ord = 1").select("model", "b"), "model").select("model", (F.col("total") + gamma * F.col("b")).alias("den"))
+    base = kept(base.select("model", "den", (gamma / F.col("den")).alias("oov")), "lm-base")
+    p = ((F.col("c") + gamma) / F.col("den")).alias("p")
+    none = F.lit(None).cast("double")
+    first = counts.where("ord = 1").join(sent_if_few(base), "model").select("model", "ord", "ctx", "tok", "c", p, none.alias("p_low"), none.alias("alpha"))
+    levels = [kept(first, "lm-1")]
+    for k in range(2, n + 1):
+        g1, g2 = hashed("model", "ctx", "tok")
+        low = levels[-1].select(g1.alias("g1"), g2.alias("g2"), F.col("p").alias("p_low"))
+        (g1, g2), (c1, c2) = hashed("model", shorter(F.col("ctx")), "tok"), hashed("model", "ctx")
+        rows = counts.where(F.col("ord") == k).select("model", "ord", "ctx", "tok", "c", g1.alias("g1"), g2.alias("g2"), c1.alias("c1"), c2.alias("c2"))
+        pairs = rows.join(low, ["g1", "g2"], "left").drop("g1", "g2")
+        # grams without a shorter one, which padding makes, count for the context's total only
+        backs = F.col("p_low").isNotNull()
+        sums = pairs.groupBy("c1", "c2", "model").agg(F.sum("c").alias("total"), F.sum(F.when(backs, F.col("c") + gamma)).alias("mass"), F.sum("p_low").alias("low"))
+        sums = sums.join(sent_if_few(bins.where(F.col("ord") == k).select("model", "b")), "model").withColumn("den", F.col("total") + gamma * F.col("b"))
+        over, under = 1 - F.col("mass") / F.col("den"), 1 - F.col("low")
+        alpha = F.when(under <= FULL, F.lit(0.0)).otherwise(F.greatest(over, F.lit(0.0)) / under)
+        level = pairs.join(sums.select("c1", "c2", "den", alpha.alias("alpha")), ["c1", "c2"]).select("model", "ord", "ctx", "tok", "c", p, "p_low", F.when(backs, F.col("alpha")).alias("alpha"))
+        levels.append(kept(level, f"lm-{k}"))
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    backed = every.where("p_low is not null").select("model", "ord", "ctx", "tok", "p", "p_low", "alpha")
+    alphas = backed.groupBy("model", "ord", "ctx").agg(F.max("alpha").alias("alpha"))
+    return Model(n, gamma, every.select("model", "ord", "ctx", "tok", "c", "p"), alphas, bins, base.select("model", "oov"), backed)
 
 
 def train(df: DataFrame, n: int, gamma: float, model: str = "model", tokens: str = "tokens", pad_left: bool = False, pad_right: bool = False) -> Model:
@@ -96,37 +115,39 @@ def train(df: DataFrame, n: int, gamma: float, model: str = "model", tokens: str
 
 
 def corrections(m: Model) -> DataFrame:
-    """(model, key, delta): what a seen unigram, context or n-gram adds to the log2 score."""
+    """(model, k1, k2, delta): what a seen unigram, context or n-gram adds to the log2 score."""
     log = lambda c: F.log2(F.greatest(c, F.lit(TINY)))
+    named = lambda key: [key[0].alias("k1"), key[1].alias("k2")]
     grams = m.probs.where("ord = 1").select("model", "tok", F.log2("p").alias("lp"))
-    unigrams = grams.join(sent_if_few(m.base), "model").select("model", gram_key(F.lit(1), F.lit(""), F.col("tok")).alias("key"), (F.col("lp") - F.log2("oov")).alias("delta"))
-    contexts = m.alphas.select("model", context_key(F.col("ord"), F.col("ctx")).alias("key"), log(F.col("alpha")).alias("delta"))
-    longer = m.backed.select("model", gram_key(F.col("ord"), F.col("ctx"), F.col("tok")).alias("key"), (F.log2("p") - log(F.col("alpha")) - F.log2("p_low")).alias("delta"))
+    unigrams = grams.join(sent_if_few(m.base), "model").select("model", *named(gram_key(1, F.lit(""), F.col("tok"))), (F.col("lp") - F.log2("oov")).alias("delta"))
+    contexts = m.alphas.select("model", *named(context_key(F.col("ord"), F.col("ctx"))), log(F.col("alpha")).alias("delta"))
+    longer = m.backed.select("model", *named(gram_key(F.col("ord"), F.col("ctx"), F.col("tok"))), (F.log2("p") - log(F.col("alpha")) - F.log2("p_low")).alias("delta"))
     return unigrams.unionByName(contexts).unionByName(longer)
 
 
-def gram_key(order: Column, ctx: Column, tok: Column) -> Column:
-    return F.concat_ws("\x1e", F.lit("g"), order.cast("string"), ctx, tok)
+def gram_key(order, ctx: Column, tok: Column) -> list[Column]:
+    return hashed(F.lit("g"), F.lit(order).cast("int") if isinstance(order, int) else order.cast("int"), ctx, tok)
 
 
-def context_key(order: Column, ctx: Column) -> Column:
-    return F.concat_ws("\x1e", F.lit("c"), order.cast("string"), ctx)
+def context_key(order, ctx: Column) -> list[Column]:
+    return hashed(F.lit("c"), F.lit(order).cast("int") if isinstance(order, int) else order.cast("int"), ctx)
 
 
 def text_keys(df: DataFrame, n: int, doc: str, tokens: str, pad_left: bool = False, pad_right: bool = False) -> DataFrame:
-    """(doc, key, times) of all corrections that a text's top-order windows may get."""
+    """(doc, k1, k2, times) of all corrections that a text's top-order windows may get."""
     t = F.col(tokens).cast("array<string>")
     t = ngrams.padded(t, n, pad_left, pad_right) if pad_left or pad_right else t
-    top = ngrams.grams(df, [F.col(doc).alias("doc")], t, [n]).groupBy("doc", "ctx", "tok").agg(F.count(F.lit(1)).alias("times"))
+    top = ngrams.grams(df, [F.col(doc).alias("doc")], t, [n])
     tails: list[Column] = [F.col("ctx")]  # context of order n, n - 1, ... 1
     for _ in range(n - 1):
         tails.append(shorter(tails[-1]))
     keys = []
     for k, ctx in zip(range(n, 0, -1), tails):
-        keys.append(gram_key(F.lit(k), ctx if k > 1 else F.lit(""), F.col("tok")))
+        keys.append(gram_key(k, ctx if k > 1 else F.lit(""), F.col("tok")))
         if k > 1:
-            keys.append(context_key(F.lit(k), ctx))
-    return top.select("doc", F.explode(F.array(*keys)).alias("key"), "times").groupBy("doc", "key").agg(F.sum("times").alias("times"))
+            keys.append(context_key(k, ctx))
+    each = F.array(*[F.struct(k1.alias("k1"), k2.alias("k2")) for k1, k2 in keys])
+    return top.select("doc", F.explode(each).alias("k")).groupBy("doc", "k.k1", "k.k2").agg(F.count(F.lit(1)).alias("times"))
 
 
 def score(df: DataFrame, m: Model, doc: str = "doc", tokens: str = "tokens", pad_left: bool = False, pad_right: bool = False) -> DataFrame:
@@ -139,7 +160,7 @@ def score(df: DataFrame, m: Model, doc: str = "doc", tokens: str = "tokens", pad
     size = F.size(ngrams.padded(t, m.n, pad_left, pad_right) if pad_left or pad_right else t)
     docs = df.select(F.col(doc).alias("doc"), F.greatest(F.coalesce(size, F.lit(0)) - (m.n - 1), F.lit(0)).alias("grams")).groupBy("doc").agg(F.sum("grams").alias("grams"))
     keys = text_keys(df, m.n, doc, tokens, pad_left, pad_right)
-    gained = keys.join(corrections(m), "key").groupBy("doc", "model").agg(F.sum(F.col("times") * F.col("delta")).alias("gained"))
+    gained = keys.join(corrections(m), ["k1", "k2"]).groupBy("doc", "model").agg(F.sum(F.col("times") * F.col("delta")).alias("gained"))
     every = docs.crossJoin(sent_if_few(m.base))  # the result itself has a row for each text and model
     return every.join(gained, ["doc", "model"], "left").select("doc", "model", "grams", (-(F.col("grams") * F.log2("oov") + F.coalesce("gained", F.lit(0.0)))).alias("neg_log2"))
 
@@ -185,30 +206,34 @@ def prob(queries: DataFrame, m: Model) -> DataFrame:
     return out
 
 
-def generate(m: Model, model: str, words: int, context: list[str] | None = None, seed: int = 0) -> list[str]:
-    """The context and ``words`` words drawn one after another, each from the longest context seen.
+def generate_all(m: Model, models: list[str], words: int, context: list[str] | None = None, seed: int = 0) -> dict[str, list[str]]:
+    """For each model the context and ``words`` words drawn one after another, each from the longest
+    context seen. '.' stands where the model has nothing to draw from.
 
-    Draws happen on the driver: a text is short, and every step needs the last. '.' stands where
-    the model has nothing to draw from.
+    Every step is one job for all models: each possible word waits for an exponential time with its
+    probability as rate, taken from a hash of seed, step, model and word, and the first one is drawn,
+    which needs neither an order nor running sums. Texts are kept on the driver: they are short, and
+    every step needs the last.
     """
-    import random
-
-    rng, out = random.Random(seed), list(context or [])
-    for _ in range(words):
-        for k in range(min(m.n, len(out) + 1), 0, -1):
-            ctx = ngrams.SEP.join(out[len(out) - k + 1 :]) if k > 1 else ""
-            rows = m.probs.where((F.col("model") == model) & (F.col("ord") == k) & (F.col("ctx") == ctx)).select("tok", "p").orderBy("tok")
-            total = rows.agg(F.sum("p")).first()[0]
-            if total:
-                up = rows.withColumn("up", F.sum("p").over(Window.partitionBy(F.lit(0)).orderBy("tok")))
-                hit = up.where(F.col("up") >= rng.random() * total).orderBy("up").first()
-                out.append(hit.tok if hit else rows.orderBy(F.desc("tok")).first().tok)
-                break
-        else:
-            out.append(".")
+    spark = m.probs.sparkSession
+    out = {x: list(context or []) for x in models}
+    for step in range(words):
+        tails = [(x, k, ngrams.SEP.join(t[len(t) - k + 1 :]) if k > 1 else "") for x, t in out.items() for k in range(1, min(m.n, len(t) + 1) + 1)]
+        asked = spark.createDataFrame(tails, f"model {dict(m.probs.dtypes)['model']}, ord int, ctx string")
+        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "model", "tok"), F.lit((1 << 53) - 1)) + 1) / F.lit(float(1 << 53))
+        first = F.min(F.struct((-F.col("ord")).alias("o"), (-F.log(u) / F.col("p")).alias("wait"), "tok")).alias("first")
+        # ``asked`` has at most n rows for each model named
+        drawn = {r.model: r.first.tok for r in m.probs.where("p > 0").join(F.broadcast(asked), ["model", "ord", "ctx"]).groupBy("model").agg(first).collect()}
+        for x, t in out.items():
+            t.append(drawn.get(x, "."))
     return out
 
 
+def generate(m: Model, model: str, words: int, context: list[str] | None = None, seed: int = 0) -> list[str]:
+    """The context and ``words`` words drawn from one model."""
+    return generate_all(m, [model], words, context, seed)[model]
+
+
 def choose_word(m: Model, model: str, context: list[str] | None = None, seed: int = 0) -> str:
     """One word drawn after the context."""
     return generate(m, model, 1, context, seed)[-1]
