@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rhetorica.operators import lm
+from rhetorica.operators import lm, util
 from rhetorica.sources.tables import sent_if_few
 
 
@@ -82,13 +82,16 @@ def one_vs_one(scores: DataFrame, prior: DataFrame) -> DataFrame:
 class NgramClassifier:
     """Class models of order n with Lidstone smoothing alpha, fitted on (label, tokens) rows.
 
-    ``binary`` allows two classes at most. Tokens may be strings or integers.
+    ``binary`` allows two classes at most. Tokens may be strings or integers. ``use_dictionary``
+    numbers the tokens of the training texts first; both sides are mapped, and a token that
+    training never saw gets a number that no n-gram has.
     """
 
     n: int = 4
     alpha: float = 0.01
     pad: bool = False
     binary: bool = False
+    use_dictionary: bool = False
 
     def __post_init__(self) -> None:
         if self.n > 6:
@@ -100,10 +103,15 @@ class NgramClassifier:
         self.prior_ = priors(df, label)
         if self.binary and len(self.prior_.take(3)) > 2:
             raise ValueError("a binary classifier takes two classes")
+        if self.use_dictionary:
+            self.vocabulary_ = util.vocabulary(df, tokens)
+            df = util.encoded(df, tokens, self.vocabulary_)
         self.model_ = lm.train(df.where(F.col(label).isNotNull()), self.n, self.alpha, label, tokens, self.pad, self.pad)
         return self
 
     def scores(self, df: DataFrame, doc: str = "doc", tokens: str = "tokens") -> DataFrame:
+        if self.use_dictionary:
+            df = util.encoded(df, tokens, self.vocabulary_)
         return lm.score(df, self.model_, doc, tokens, self.pad, self.pad)
 
     def predict(self, df: DataFrame, doc: str = "doc", tokens: str = "tokens") -> DataFrame:

@@ -51,18 +51,21 @@ def naive_bayes(bags: DataFrame, labels: DataFrame, alpha: float = 1.0) -> tuple
     return stored(grams, "nb-grams"), stored(classes, "nb-classes")
 
 
-def naive_bayes_scores(bags: DataFrame, grams: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc, label, log_joint); grams that training never saw count for no class.
+def naive_bayes_scores(bags: DataFrame, grams: DataFrame, classes: DataFrame, empty: bool = True) -> DataFrame:
+    """(doc, label, log_joint); grams that training never saw count for no class. Texts without any
+    known gram get the priors, or are left out if not ``empty``.
 
-    As with the language models, a sum of corrections over one join of grams that were seen.
+    As with the language models, a sum of corrections over one join of grams that were seen. A row
+    without a label stands for each known gram, so that the same join gives the number of them.
     """
-    known = grams.select("gram").distinct()
-    seen = bags.join(known, "gram", "left_semi")
-    sizes = bags.select("doc").distinct().join(seen.groupBy("doc").agg(F.sum("n").alias("k")), "doc", "left").select("doc", F.coalesce("k", F.lit(0)).alias("k"))
     classes = sent_if_few(classes)
     delta = grams.join(classes, "label").select("label", "gram", (F.col("log_p") - F.col("log_unseen")).alias("d"))
-    gained = seen.join(delta, "gram").groupBy("doc", "label").agg(F.sum(F.col("n") * F.col("d")).alias("g"))
-    return sizes.crossJoin(classes).join(gained, ["doc", "label"], "left").select(
+    known = grams.select(F.lit(None).cast(dict(grams.dtypes)["label"]).alias("label"), "gram", F.lit(1.0).alias("d")).distinct()
+    gained = stored(bags.join(delta.unionByName(known), "gram").groupBy("doc", "label").agg(F.sum(F.col("n") * F.col("d")).alias("g")), "nb-gained")
+    sizes = gained.where("label is null").select("doc", F.col("g").alias("k"))
+    if empty:
+        sizes = bags.select("doc").distinct().join(sizes, "doc", "left").select("doc", F.coalesce("k", F.lit(0.0)).alias("k"))
+    return sizes.crossJoin(classes).join(gained.where("label is not null"), ["doc", "label"], "left").select(
         "doc", "label", (F.col("log_prior") + F.col("k") * F.col("log_unseen") + F.coalesce("g", F.lit(0.0))).alias("log_joint")
     )
 

@@ -135,7 +135,8 @@ def l13_generate(spark, d):
     """Ten words from the model of each speaker."""
     m = _model(spark, d)
     names = [r.model for r in m.base.select("model").orderBy("model").collect()]
-    return spark.createDataFrame([(x, " ".join(lm.generate(m, x, 10, ["the"], seed=1))) for x in names], "model string, text string")
+    texts = lm.generate_all(m, names, 10, ["the"], seed=1)
+    return spark.createDataFrame([(x, " ".join(t)) for x, t in texts.items()], "model string, text string")
 
 
 @query(f"WITH {SCORES_SQL} SELECT doc, arg_min(model, (round(neg_log2, 9), model)) AS label FROM scores GROUP BY doc")
@@ -177,11 +178,15 @@ def c03_priors(spark, d):
     return _prior(spark, d).select("model", "n", F.round("prior", 9).alias("prior"), F.round("log2_prior", 9).alias("log2_prior"))
 
 
-def _judged(spark, d):
-    """(doc, truth, guess): the stretches whose stored name is a speaker, with the speaker that scores best."""
+def _truth(spark, d):
+    """(doc, truth): the stretches whose stored name is a speaker."""
     known = table(spark, d, "speakers").select(F.col("speaker").alias("truth")).distinct()
-    truth = stretches(spark, d).select("doc", F.upper(tr.clean_label(F.col("name"))).alias("truth")).join(known, "truth", "left_semi")
-    return truth.join(classify.argmax(_scores(spark, d)).withColumnRenamed("label", "guess"), "doc")
+    return stretches(spark, d).select("doc", F.upper(tr.clean_label(F.col("name"))).alias("truth")).join(known, "truth", "left_semi")
+
+
+def _judged(spark, d):
+    """(doc, truth, guess): these stretches with the speaker that scores best."""
+    return _truth(spark, d).join(classify.argmax(_scores(spark, d)).withColumnRenamed("label", "guess"), "doc")
 
 
 JUDGED_SQL = f"""{SCORES_SQL}, guess AS (SELECT doc, arg_min(model, (round(neg_log2, 9), model)) AS guess FROM scores GROUP BY doc),
@@ -220,8 +225,7 @@ def e07_naive_bayes(spark, d):
     train = spoken_words(spark, d)
     bags = evaluate.vectorize(train, "row_id")
     grams, classes = evaluate.naive_bayes(bags, train.select(F.col("row_id").alias("doc"), F.col("speaker").alias("label")), 0.075)
-    known = evaluate.vectorize(stretches(spark, d), "doc")
-    scores = evaluate.naive_bayes_scores(known.join(grams.select("gram").distinct(), "gram", "left_semi"), grams, classes)
+    scores = evaluate.naive_bayes_scores(evaluate.vectorize(stretches(spark, d), "doc"), grams, classes, empty=False)
     return scores.select("doc", "label", F.round("log_joint", 4).alias("log_joint"))
 
 
@@ -248,18 +252,25 @@ def e14_cross_validation(spark, d):
 def _class_scores(spark, d):
     """(doc, label, score, truth): log posterior odds of each class for stretches with a known speaker."""
     p = classify.posterior(_scores(spark, d), _prior(spark, d))
-    truth = _judged(spark, d).select("doc", "truth")
+    truth = _truth(spark, d)
     odds = F.log(F.greatest("p", F.lit(1e-12))) - F.log(F.greatest(1 - F.col("p"), F.lit(1e-12)))
     return stored(p.join(truth, "doc").select("doc", F.col("model").alias("label"), odds.alias("score"), "truth", "p"), "class-scores")
 
 
 @query()
 def k01_calibrated(spark, d):
-    """Calibrated class probabilities of the stretches, by one sigmoid per class that has enough of them."""
-    s = _class_scores(spark, d)
-    seen = s.where("truth = label").select("label").distinct()
-    s = s.join(seen, "label", "left_semi")
-    return calibrate.Calibrator("sigmoid").fit(s).predict_proba(s.select("doc", "label", "score"))
+    """Class probabilities of the stretches: bigram models fitted on one half of the sentences, sigmoids
+    on the scores of the other half, and the reverse; the mean of both."""
+    rows = spoken_words(spark, d).select(F.col("row_id").alias("doc"), F.col("speaker").alias("truth"), "tokens")
+    rows = stored(evaluate.k_folds(rows, "doc", 2), "halves")
+
+    def score(base, df):
+        p = classify.posterior(base.scores(df), base.prior_)
+        odds = F.log(F.greatest("p", F.lit(1e-12))) - F.log(F.greatest(1 - F.col("p"), F.lit(1e-12)))
+        return p.select("doc", F.col("model").alias("label"), odds.alias("score"))
+
+    both = calibrate.CrossCalibrated(lambda df: classify.NgramClassifier(2, 0.1).fit(df, "truth"), score).fit(rows)
+    return both.predict_proba(stretches(spark, d))
 
 
 @query(
@@ -269,7 +280,7 @@ SELECT floor(p * 5 / (1 + 1e-8))::INT AS bin, count(*) AS n, round(avg(y), 6) AS
 )
 def k07_calibration_curve(spark, d):
     p = classify.posterior(_scores(spark, d), _prior(spark, d)).withColumn("p", F.round("p", 6))
-    rows = p.join(_judged(spark, d).select("doc", "truth"), "doc").select("p", (F.col("truth") == F.col("model")).cast("int").alias("y"))
+    rows = p.join(_truth(spark, d), "doc").select("p", (F.col("truth") == F.col("model")).cast("int").alias("y"))
     return calibrate.calibration_curve(rows, "y", "p").select("bin", "n", F.round("share", 6).alias("share"), F.round("mean_prob", 6).alias("mean_prob"))
 
 
@@ -310,9 +321,72 @@ def _names(spark, d):
     return stretches(spark, d).withColumn("label", F.upper(tr.clean_label(F.col("name")))).join(known, "label", "left_semi").select("doc", "tokens", "label")
 
 
-@query(f"WITH {SCORES_SQL} SELECT doc, model, round(pow(2, log2(prior) - neg_log2), 12) AS joint FROM scores JOIN prior USING (model)")
+SENTENCES_SQL = """one AS (SELECT proc_id, min(sents) AS sents, min(name) AS name FROM processed WHERE proc_id IS NOT NULL AND sents IS NOT NULL GROUP BY proc_id),
+stored AS (SELECT proc_id, name, sents, unnest(range(1, len(sents) + 1)) AS i FROM one),
+stretches AS (SELECT proc_id || ':' || i AS doc, name, list_filter(sents[i], lambda t: t NOT IN ('<S>', '</S>')) AS t FROM stored WHERE sents[i] IS NOT NULL)"""
+
+
+@query(
+    f"""WITH {SCORES_SQL.replace(STRETCHES_SQL, SENTENCES_SQL)}, j AS (SELECT doc, model, pow(2, log2(prior) - neg_log2) AS joint FROM scores JOIN prior USING (model))
+SELECT doc, model, joint > 0 AS positive, round(CASE WHEN joint > 1e-300 THEN log2(joint) END, 4) AS log2_of_joint FROM j"""
+)
 def c07_joint_proba(spark, d):
-    return classify.joint_proba(_scores(spark, d), _prior(spark, d)).withColumn("joint", F.round("joint", 12))
+    """Joint probabilities of the stored sentences, which are short enough for them; shown as logarithms."""
+    one = table(spark, d, "processed").where("proc_id is not null and sents is not null").groupBy("proc_id").agg(F.min("sents").alias("sents"))
+    each = one.select("proc_id", F.posexplode("sents").alias("i", "s")).where("s is not null")
+    docs = each.select(F.concat("proc_id", F.lit(":"), F.col("i") + 1).alias("doc"), F.filter("s", lambda t: ~t.isin("<S>", "</S>")).alias("tokens"))
+    joint = classify.joint_proba(lm.score(docs, _model(spark, d)), _prior(spark, d))
+    return joint.select("doc", "model", (F.col("joint") > 0).alias("positive"), F.round(F.when(F.col("joint") > 1e-300, F.log2("joint")), 4).alias("log2_of_joint"))
+
+
+@query(f"WITH {SCORES_SQL} SELECT doc, arg_min(model, (round(neg_log2, 9), model)) AS label FROM scores GROUP BY doc")
+def c02_dictionary(spark, d):
+    """The speaker that scores best, by a classifier that numbers its tokens."""
+    c = classify.NgramClassifier(3, GAMMA, use_dictionary=True).fit(spoken_words(spark, d), "speaker")
+    return c.predict(stretches(spark, d).select("doc", "tokens"))
+
+
+PROCESSED_MODELS_SQL = f"""one AS (SELECT proc_id, min(sents) AS sents, min(name) AS name, max(num_word_types) AS types FROM processed WHERE proc_id IS NOT NULL AND sents IS NOT NULL GROUP BY proc_id),
+said AS (SELECT upper(trim(name, ' :[]')) AS model, unnest(sents) AS t FROM one WHERE types > 0 AND upper(trim(name, ' :[]')) IN (SELECT speaker FROM speakers)),
+spots AS (SELECT model, t, unnest(range(1, len(t) + 1)) AS i FROM said),
+counts AS ({" UNION ALL ".join(f"SELECT model, {k} AS ord, {' || chr(31) || '.join(f't[i - {j}]' for j in range(k - 1, 0, -1)) or repr('')} AS ctx, t[i] AS tok, count(*) AS c FROM spots WHERE i >= {k} GROUP BY ALL" for k in range(1, 5))}),
+bins AS (SELECT model, ord, count(DISTINCT tok) AS b FROM counts GROUP BY ALL), totals AS (SELECT model, ord, ctx, sum(c) AS total FROM counts GROUP BY ALL),
+probs AS (SELECT model, ord, ctx, tok, c, (c + {GAMMA}::DOUBLE) / (total + {GAMMA}::DOUBLE * b) AS p FROM counts JOIN totals USING (model, ord, ctx) JOIN bins USING (model, ord)),
+low AS (SELECT a.model, a.ord, a.ctx, a.p, b.p AS q FROM probs a JOIN probs b ON a.model = b.model AND b.ord = a.ord - 1 AND b.tok = a.tok AND b.ctx = CASE WHEN contains(a.ctx, chr(31)) THEN substr(a.ctx, instr(a.ctx, chr(31)) + 1) ELSE '' END WHERE a.ord > 1),
+alphas AS (SELECT model, ord, ctx, CASE WHEN 1 - sum(q) <= 1e-12 THEN 0 ELSE greatest(1 - sum(p), 0) / (1 - sum(q)) END AS alpha FROM low GROUP BY ALL)"""
+
+
+def _processed_models(spark, d):
+    """4-gram models of the speakers from the stored sentences of their stretches with a count of word types."""
+    one = table(spark, d, "processed").where("proc_id is not null and sents is not null").groupBy("proc_id").agg(F.min("sents").alias("sents"), F.min("name").alias("name"), F.max("num_word_types").alias("types"))
+    known = table(spark, d, "speakers").select(F.col("speaker").alias("model")).distinct()
+    said = one.where("types > 0").select(F.upper(tr.clean_label(F.col("name"))).alias("model"), F.explode("sents").alias("tokens")).join(known, "model", "left_semi")
+    return lm.train(said, 4, GAMMA)
+
+
+@query(f"WITH {PROCESSED_MODELS_SQL} SELECT model, ord, replace(ctx, chr(31), ' ') AS ctx, tok, round(p, 9) AS p FROM probs")
+def l19_four_grams(spark, d):
+    return _processed_models(spark, d).probs.select("model", "ord", F.replace("ctx", F.lit(ngrams.SEP), F.lit(" ")).alias("ctx"), "tok", F.round("p", 9).alias("p"))
+
+
+@query(f"WITH {PROCESSED_MODELS_SQL} SELECT model, ord, replace(ctx, chr(31), ' ') AS ctx, round(alpha, 6) AS alpha FROM alphas")
+def l19_four_gram_backoff(spark, d):
+    return _processed_models(spark, d).alphas.select("model", "ord", F.replace("ctx", F.lit(ngrams.SEP), F.lit(" ")).alias("ctx"), F.round("alpha", 6).alias("alpha"))
+
+
+@query()
+def e10_linear_svc(spark, d):
+    return _learned(spark, d, learners.linear_svc(1.0))
+
+
+@query()
+def e13_grid_search(spark, d):
+    """The mean weighted F1 over two folds of naive Bayes with each smoothing, and which one is best."""
+    rows = stored(spoken_words(spark, d).select("tokens", F.col("speaker").alias("label")), "bags")
+    grid = [0.05, 0.5, 2.0]
+    found = learners.grid_search(rows, learners.bayes(), {"smoothing": grid}, folds=2).stages[-1]
+    best = max(found.avgMetrics)
+    return spark.createDataFrame([(g, float(m), bool(m == best)) for g, m in zip(grid, found.avgMetrics)], "smoothing double, f1 double, best boolean")
 
 
 @query()

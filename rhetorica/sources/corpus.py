@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rhetorica.operators.util import numbered
+
 PROCESSED_SCHEMA = "speaker string, num_word_types bigint, sents array<array<string>>"
 
 
@@ -43,13 +45,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("row_id bigint, text string, label string").json(path)
 
 
-def read_aligned(spark: SparkSession, texts: str, labels: str) -> DataFrame:
-    """(row_id, text, label) from two single files that are aligned by line.
+def numbered_lines(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(row_id, column) of a text file's lines, numbered from 0 in file order; the file is split over tasks."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    # within a block of a file ids grow in the order of its lines
+    return numbered(rows, [], ["_file", "_block", "_id"], "lines").select((F.col("_n") - 1).alias("row_id"), F.col("value").alias(column))
 
-    Each file is read whole, so that lines keep their number; files of different length raise an
-    error when rows are read.
-    """
-    lines = lambda p, c: spark.read.text(p, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("row_id", c))
-    both = lines(texts, "text").join(lines(labels, "label"), "row_id", "full")
+
+def read_aligned(spark: SparkSession, texts: str, labels: str) -> DataFrame:
+    """(row_id, text, label) from two single files that are aligned by line; files of different
+    length raise an error when rows are read."""
+    both = numbered_lines(spark, texts, "text").join(numbered_lines(spark, labels, "label"), "row_id", "full")
     broken = F.col("text").isNull() | F.col("label").isNull()
-    return both.select(F.col("row_id").cast("bigint").alias("row_id"), F.when(broken, F.raise_error(F.lit("the files have different numbers of lines"))).otherwise(F.col("text")).alias("text"), "label")
+    return both.select("row_id", F.when(broken, F.raise_error(F.lit("the files have different numbers of lines"))).otherwise(F.col("text")).alias("text"), "label")
