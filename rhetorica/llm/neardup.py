@@ -118,13 +118,13 @@ def banded(sets: DataFrame, rows: int, bands: int) -> DataFrame:
     return sets.select("cls", "n", "words").mapInArrow(build, "key bigint, cls bigint, n int")
 
 
-def hot_keys(sets: DataFrame, rows: int, bands: int, sample: int = HOT_SAMPLE, hot: int = HOT) -> DataFrame | None:
+def hot_keys(every: DataFrame, rows: int, bands: int, sample: int = HOT_SAMPLE, hot: int = HOT) -> DataFrame | None:
     """(key) of the bands that ``hot`` or more of about ``sample`` classes share, None if there are
-    none; at most ``sample * bands / hot`` keys."""
-    n = sets.count()
-    part = sets.where(F.pmod(F.xxhash64("cls"), F.lit(max(1, n // sample))) == 0)
+    none; at most ``sample * bands / hot`` keys. every: (cls, n, words) with repeats."""
+    n = every.count()
+    part = every.where(F.pmod(F.xxhash64("cls"), F.lit(max(1, n // sample))) == 0).dropDuplicates(["cls"])
     found = [(r.key,) for r in banded(part, rows, bands).groupBy("key").count().where(F.col("count") >= hot).select("key").collect()]
-    return sets.sparkSession.createDataFrame(found, "key bigint") if found else None
+    return every.sparkSession.createDataFrame(found, "key bigint") if found else None
 
 
 def spread(keyed: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -248,8 +248,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
 
     every = stored(word_sets(df, id_col, text_col, max(least_words, 1)), "word-sets")
     members = every.select("id", "cls").distinct()
-    sets = every.select("cls", "n", "words").dropDuplicates(["cls"])  # read twice: of a sample, then whole
-    candidates = stored(bucket_pairs(banded(sets, rows, bands), threshold, wide, hot_keys(sets, rows, bands, hot=hot)).distinct(), "candidates")
+    sets = every.select("cls", "n", "words").dropDuplicates(["cls"])
+    candidates = stored(bucket_pairs(banded(sets, rows, bands), threshold, wide, hot_keys(every, rows, bands, hot=hot)).distinct(), "candidates")
     ends = candidates.select(F.col("cls_a").alias("cls")).unionByName(candidates.select(F.col("cls_b").alias("cls"))).distinct()
     used = every.select("cls", F.split("words", " ").alias("w")).join(ends, "cls", "left_semi").dropDuplicates(["cls"])
     used = stored(used, "candidate-sets")
