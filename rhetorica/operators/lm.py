@@ -206,6 +206,11 @@ def prob(queries: DataFrame, m: Model) -> DataFrame:
     return out
 
 
+def log_prob(queries: DataFrame, m: Model) -> DataFrame:
+    """(model, ctx, tok, neg_log2): the negative log2 probability of each asked word after its context."""
+    return prob(queries, m).select("model", "ctx", "tok", (-F.log2("p")).alias("neg_log2"))
+
+
 def generate_all(m: Model, models: list[str], words: int, context: list[str] | None = None, seed: int = 0) -> dict[str, list[str]]:
     """For each model the context and ``words`` words drawn one after another, each from the longest
     context seen. '.' stands where the model has nothing to draw from.

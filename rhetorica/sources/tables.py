@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,13 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    Taken from ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary
-    folder is made and recorded in the session.
+    Taken from ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process
+    (local tests) a temporary folder is made and recorded in the session. A cluster without a
+    shared folder raises ``ValueError``.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="rhetorica-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         where = "file://" + folder
@@ -36,14 +40,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors and lets several branches of a plan read
-    one result. An empty result keeps its schema.
+    one result. An empty result keeps its schema. The table is removed when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _removed_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _removed_at_end(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def small_rows(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table that must be small; more than ``limit`` rows raise ``ValueError``."""
     rows = df.take(limit + 1)

@@ -132,6 +132,60 @@ def test_platt_and_isotonic(spark):
         calibrate.platt(df.limit(0))
 
 
+def test_sigmoids_fitted_together(spark):
+    """Each curve is the maximum of its own likelihood, whatever the scale of its scores."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, s * scale, rng.random() < 1 / (1 + math.exp(-a * s - 0.5))) for k, a, scale in (("x", 2.0, 1.0), ("y", -1.0, 100.0), (None, 0.3, 0.01)) for s in (rng.uniform(-3, 3) for _ in range(300))]
+    rows += [("all", float(i), True) for i in range(5)] + [("apart", -1.0, False), ("apart", 1.0, True), ("same", 2.0, True), ("same", 2.0, False)]
+    got = calibrate.platt_by(spark.createDataFrame(rows, "k string, score double, hit boolean"), ["k"])
+    assert set(got) == {("x",), ("y",), (None,), ("all",), ("apart",), ("same",)}
+    for (k,), (a, b) in got.items():
+        own = [(s, h) for q, s, h in rows if q == k]
+        pos = sum(h for _, h in own)
+        hi, lo = (pos + 1) / (pos + 2), 1 / (len(own) - pos + 2)
+        loss = lambda a, b: sum(math.log1p(math.exp(a * s + b)) - (1 - (hi if h else lo)) * (a * s + b) for s, h in own)
+        size = max(abs(s) for s, _ in own)
+        assert all(loss(a, b) <= loss(a + da / size, b + db) + 1e-9 for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01)), k
+
+
+def test_cross_calibration_uses_held_out_rows(spark):
+    rows = [(i, "A" if i % 2 else "B", (i // 2) % 2, 1.0 if i % 2 else -1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc int, truth string, fold int, x double")
+    seen = []
+
+    def fit(train):
+        seen.append({r.fold for r in train.select("fold").distinct().collect()})
+        return len(seen)
+
+    def score(base, df):
+        return df.select("doc", F.explode(F.array(F.struct(F.lit("A").alias("label"), F.col("x").alias("score")), F.struct(F.lit("B").alias("label"), (-F.col("x")).alias("score")))).alias("e")).select("doc", "e.label", "e.score")
+
+    both = calibrate.CrossCalibrated(fit, score).fit(df)
+    assert seen == [{1}, {0}]
+    p = both.predict_proba(df)
+    assert all(r.s == pytest.approx(1) for r in p.groupBy("doc").agg(F.sum("p").alias("s")).collect())
+    assert {r.doc: r.label for r in both.predict(df).collect()} == {i: t for i, t, _, _ in rows}
+
+
+def test_numbers_and_dictionaries(spark):
+    rows = [("a" if i < 190 else None if i < 195 else "b", i * 7 % 200, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, o int, v int").repartition(5)
+    got = {r.v: r._n for r in util.numbered(df, ["g"], ["o"], "t").collect()}
+    for g in ("a", None, "b"):
+        own = sorted((o, v) for q, o, v in rows if q == g)
+        assert [got[v] for _, v in own] == list(range(1, len(own) + 1))
+    train = spark.createDataFrame([(["b", "a", None],), (["c"],)], "tokens array<string>")
+    vocab = util.vocabulary(train, "tokens")
+    assert {r.token: r.id for r in vocab.collect()} == {"a": 0, "b": 1, "c": 2}
+    test = spark.createDataFrame([(1, ["c", "new", None, "a"]), (2, []), (3, None)], "doc int, tokens array<string>")
+    assert {r.doc: r.tokens for r in util.encoded(test, "tokens", vocab).collect()} == {1: [2, -1, None, 0], 2: [], 3: None}
+    both = [classify.NgramClassifier(2, 0.1, use_dictionary=u).fit(labelled(spark)).scores(spark.createDataFrame([(1, ["red", "blue", "new"]), (2, ["one", "two"])], "doc int, tokens array<string>")) for u in (False, True)]
+    a, b = ({(r.doc, r.model): round(r.neg_log2, 9) for r in x.collect()} for x in both)
+    assert a == b and len(a) == 4
+
+
 def test_calibrator(spark):
     rows = [(i, c, (2.0 if (i % 2 == 0) == (c == "A") else -2.0) + (i % 5 - 2), "A" if i % 2 == 0 else "B", i % 2) for i in range(60) for c in "AB"]
     df = spark.createDataFrame([(d, c, s, t, (d // 2) % 2) for d, c, s, t, _ in rows], "doc int, label string, score double, truth string, fold int")
