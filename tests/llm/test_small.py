@@ -222,6 +222,18 @@ def test_hot_buckets_are_spread(spark):
     assert neardup.hot_keys(sets.limit(0), neardup.ROWS, neardup.BANDS) is None
 
 
+@pytest.mark.parametrize("wide", [2_000, 5])
+def test_shared_phrases_make_few_candidates(spark, wide):
+    """Texts of one template share bands by chance; their sketches keep them from becoming candidates."""
+    phrase = [f"p{i}" for i in range(18)]
+    texts = [" ".join([*phrase, *(f"x{i}a{k}" for k in range(10))]) for i in range(400)]
+    texts += [t.rsplit(" ", 2)[0] + f" y{i} z{i}" for i, t in enumerate(texts[:50])]  # 26 of 30 words
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, sent string")
+    sets = neardup.word_sets(df, "row_id", "sent", 22).select("cls", "n", "words")
+    assert 50 <= neardup.bucket_pairs(neardup.banded(sets, neardup.ROWS, neardup.BANDS), 0.78, wide).distinct().count() < 200
+    assert {tuple(r) for r in neardup.near_duplicates(df, "row_id", "sent", 0.78, 22, wide=wide).pairs().collect()} == {(i, 400 + i) for i in range(50)}
+
+
 def test_groups_of_all_languages_and_lengths(spark, tmp_path):
     long = [f"w{i}" for i in range(24)]
     rows = [(1, "eins zwei drei vier fünf", "de"), (2, "fünf vier drei zwei eins sechs", "de"), (3, "one two three", "en"), (4, "Three, two, one!", "en"), (5, "alone", "fr"), (6, " ".join(long), "en"), (7, " ".join([*long[:-1], "other"]), "en"), (8, None, "en"), (9, "...", "en")]
