@@ -267,7 +267,7 @@ def words(text: str | None, folder: Folder | None = None) -> list[str]:
 
 
 def code_point_counts(df: DataFrame, column: str) -> dict[str, int]:
-    """Occurrences of each code point in the rows that hold more than ASCII.
+    """Occurrences of each code point in all rows.
 
     The result is bounded by the number of Unicode code points, whatever the size of the table;
     counts are merged per partition before the shuffle.
@@ -276,15 +276,20 @@ def code_point_counts(df: DataFrame, column: str) -> dict[str, int]:
 
     def count(batches: Iterable[pa.RecordBatch]):
         total: Counter = Counter()
+        ascii_only = np.zeros(128, np.int64)
         for b in batches:
-            text = "".join(x for x in b.column(0).to_pylist() if x)
-            if text:
-                cps, n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_counts=True)
+            text = "".join(x for x in b.column(0).to_pylist() if x).encode()
+            raw = np.frombuffer(text, np.uint8)
+            ascii_only += np.bincount(raw, minlength=256)[:128]
+            rest = raw[raw >= 128]  # whole characters: theirs are the only bytes from 128
+            if len(rest):
+                cps, n = np.unique(np.frombuffer(rest.tobytes().decode().encode("utf-32-le"), dtype=np.uint32), return_counts=True)
                 total.update(dict(zip(cps.tolist(), n.tolist())))
+        total.update({c: n for c, n in enumerate(ascii_only.tolist()) if n})
         yield pa.RecordBatch.from_pydict({"cp": pa.array(list(total), pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
 
     rows = (
-        df.select(F.col(column).alias("s")).where(F.col("s").rlike(r"[^\x00-\x7F]"))
+        df.select(F.col(column).alias("s")).where(F.col("s").isNotNull())
         .mapInArrow(count, "cp int, n bigint").groupBy("cp").agg(F.sum("n").alias("n")).collect()
     )
     return {chr(r.cp): r.n for r in rows}
@@ -292,7 +297,7 @@ def code_point_counts(df: DataFrame, column: str) -> dict[str, int]:
 
 def collection_counts(sents: DataFrame, processed: DataFrame) -> dict[str, int]:
     """Occurrences of each code point in the sentences and in the tokens of the processed stretches."""
-    tokens = processed.select(F.explode(F.flatten(F.filter("sents", lambda s: s.isNotNull()))).alias("s"))
+    tokens = processed.select(F.array_join(F.flatten(F.filter("sents", lambda s: s.isNotNull())), "").alias("s"))
     return code_point_counts(sents.select(F.col("sent").alias("s")).unionByName(tokens), "s")
 
 

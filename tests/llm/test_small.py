@@ -93,6 +93,14 @@ def test_code_point_counts(spark):
     assert forms.code_point_counts(df, "s")["é"] == 3
 
 
+def test_rows_of_ascii_are_counted(spark):
+    rows = ["plain", None, "", "fin 日本", "ı ı", "іıx 𝐛"]
+    counts = forms.code_point_counts(spark.createDataFrame([(x,) for x in rows], "s string"), "s")
+    assert counts == Counter("".join(x for x in rows if x))
+    many = spark.createDataFrame([(x,) for x in [*["his kin"] * 9, "ıt", "ıt"]], "s string")
+    assert forms.Folder(forms.code_point_counts(many, "s"))("fіn") == "fin"  # without those rows ı is the more frequent one
+
+
 # Frequencies -----------------------------------------------------------------------------------
 
 
