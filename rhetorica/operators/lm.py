@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rhetorica.operators import ngrams
-from rhetorica.sources.tables import sent_if_few, stored
+from rhetorica.sources.tables import sent_if_few, shuffled, stored
 
 TINY = 1e-300  # stands for a backoff weight of 0, so that logarithms stay finite
 FULL = 1e-12
@@ -78,7 +78,7 @@ def build(counts: DataFrame, n: int, gamma: float, keep: bool = True) -> Model:
     shared folder, since several branches read them."""
     if gamma < 0:
         raise ValueError("gamma must not be negative")
-    kept = stored if keep else lambda df, _: df
+    kept = (lambda df, label: stored(df, label, free=True)) if keep else lambda df, _: df
     bins = kept(counts.select("model", "ord", "tok").distinct().groupBy("model", "ord").agg(F.count("tok").alias("b")), "lm-bins")
     tokens = counts.where("ord = 1").groupBy("model").agg(F.sum("c").alias("total"))
     base = tokens.join(bins.where("ord = 1").select("model", "b"), "model").select("model", (F.col("total") + gamma * F.col("b")).alias("den"))
@@ -92,14 +92,14 @@ def build(counts: DataFrame, n: int, gamma: float, keep: bool = True) -> Model:
         low = levels[-1].select(g1.alias("g1"), g2.alias("g2"), F.col("p").alias("p_low"))
         (g1, g2), (c1, c2) = hashed("model", shorter(F.col("ctx")), "tok"), hashed("model", "ctx")
         rows = counts.where(F.col("ord") == k).select("model", "ord", "ctx", "tok", "c", g1.alias("g1"), g2.alias("g2"), c1.alias("c1"), c2.alias("c2"))
-        pairs = rows.join(low, ["g1", "g2"], "left").drop("g1", "g2")
+        pairs = shuffled(rows).join(low, ["g1", "g2"], "left").drop("g1", "g2")
         # grams without a shorter one, which padding makes, count for the context's total only
         backs = F.col("p_low").isNotNull()
         sums = pairs.groupBy("c1", "c2", "model").agg(F.sum("c").alias("total"), F.sum(F.when(backs, F.col("c") + gamma)).alias("mass"), F.sum("p_low").alias("low"))
         sums = sums.join(sent_if_few(bins.where(F.col("ord") == k).select("model", "b")), "model").withColumn("den", F.col("total") + gamma * F.col("b"))
         over, under = 1 - F.col("mass") / F.col("den"), 1 - F.col("low")
         alpha = F.when(under <= FULL, F.lit(0.0)).otherwise(F.greatest(over, F.lit(0.0)) / under)
-        level = pairs.join(sums.select("c1", "c2", "den", alpha.alias("alpha")), ["c1", "c2"]).select("model", "ord", "ctx", "tok", "c", p, "p_low", F.when(backs, F.col("alpha")).alias("alpha"))
+        level = shuffled(pairs).join(sums.select("c1", "c2", "den", alpha.alias("alpha")), ["c1", "c2"]).select("model", "ord", "ctx", "tok", "c", p, "p_low", F.when(backs, F.col("alpha")).alias("alpha"))
         levels.append(kept(level, f"lm-{k}"))
     every = levels[0]
     for level in levels[1:]:
@@ -111,7 +111,7 @@ def build(counts: DataFrame, n: int, gamma: float, keep: bool = True) -> Model:
 
 def train(df: DataFrame, n: int, gamma: float, model: str = "model", tokens: str = "tokens", pad_left: bool = False, pad_right: bool = False) -> Model:
     """One model for each value of the ``model`` column, in one build."""
-    return build(stored(ngrams.conditional_counts(df, n, model, tokens, pad_left, pad_right), "lm-counts"), n, gamma)
+    return build(stored(ngrams.conditional_counts(df, n, model, tokens, pad_left, pad_right), "lm-counts", free=True), n, gamma)
 
 
 def corrections(m: Model) -> DataFrame:
@@ -160,9 +160,9 @@ def score(df: DataFrame, m: Model, doc: str = "doc", tokens: str = "tokens", pad
     size = F.size(ngrams.padded(t, m.n, pad_left, pad_right) if pad_left or pad_right else t)
     docs = df.select(F.col(doc).alias("doc"), F.greatest(F.coalesce(size, F.lit(0)) - (m.n - 1), F.lit(0)).alias("grams")).groupBy("doc").agg(F.sum("grams").alias("grams"))
     keys = text_keys(df, m.n, doc, tokens, pad_left, pad_right)
-    gained = keys.join(corrections(m), ["k1", "k2"]).groupBy("doc", "model").agg(F.sum(F.col("times") * F.col("delta")).alias("gained"))
+    gained = shuffled(keys).join(corrections(m), ["k1", "k2"]).groupBy("doc", "model").agg(F.sum(F.col("times") * F.col("delta")).alias("gained"))
     every = docs.crossJoin(sent_if_few(m.base))  # the result itself has a row for each text and model
-    return every.join(gained, ["doc", "model"], "left").select("doc", "model", "grams", (-(F.col("grams") * F.log2("oov") + F.coalesce("gained", F.lit(0.0)))).alias("neg_log2"))
+    return shuffled(every).join(gained, ["doc", "model"], "left").select("doc", "model", "grams", (-(F.col("grams") * F.log2("oov") + F.coalesce("gained", F.lit(0.0)))).alias("neg_log2"))
 
 
 def entropy(scored: DataFrame) -> DataFrame:

@@ -317,3 +317,18 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert ngrams.add_counts(spark.read.parquet(str(tmp_path / "out")).drop("batch")).where("tok = 'a'").first().c == 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def arrays_of(spark, folder, n=300):
+    """Rows of long arrays in files of a few bytes, from which Spark guesses what exploded rows will need."""
+    spark.range(n).select(F.col("id").alias("doc"), F.array_repeat(F.concat(F.lit("w"), F.col("id") % 7), 40).alias("tokens")).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def test_keys_of_texts_are_not_broadcast(spark, toy, tmp_path):
+    plan = plan_of(lm.score(arrays_of(spark, str(tmp_path / "texts")), toy))
+    assert "BroadcastHashJoin [k1" not in plan and "SortMergeJoin [k1" in plan
