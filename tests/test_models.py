@@ -332,3 +332,15 @@ def arrays_of(spark, folder, n=300):
 def test_keys_of_texts_are_not_broadcast(spark, toy, tmp_path):
     plan = plan_of(lm.score(arrays_of(spark, str(tmp_path / "texts")), toy))
     assert "BroadcastHashJoin [k1" not in plan and "SortMergeJoin [k1" in plan
+
+
+def tree_of(spark, folder):
+    texts = arrays_of(spark, folder).groupBy("doc").agg(F.min("tokens").alias("tokens"))
+    rows = texts.select(F.col("doc").alias("sent_id"), F.posexplode("tokens").alias("idx", "word"))
+    return rows.withColumn("head", F.greatest(F.floor((F.col("idx") - 1) / 2), F.lit(0)).cast("int"))
+
+
+def test_chains_of_relations_need_no_join(spark, tmp_path):
+    grams = syntax.sn_grams(tree_of(spark, str(tmp_path / "texts")), 1, 3, labels=True)
+    assert "Join" not in plan_of(grams) and plan_of(grams).count("Exchange hash") == 1
+    assert {r.n: r["count"] for r in grams.groupBy("n").count().collect()} == {1: 300 * 39, 2: 300 * 37, 3: 300 * 33}
