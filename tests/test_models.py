@@ -344,3 +344,9 @@ def test_chains_of_relations_need_no_join(spark, tmp_path):
     grams = syntax.sn_grams(tree_of(spark, str(tmp_path / "texts")), 1, 3, labels=True)
     assert "Join" not in plan_of(grams) and plan_of(grams).count("Exchange hash") == 1
     assert {r.n: r["count"] for r in grams.groupBy("n").count().collect()} == {1: 300 * 39, 2: 300 * 37, 3: 300 * 33}
+
+
+def test_chains_of_words_need_no_join(spark, tmp_path):
+    grams = syntax.sn_grams(tree_of(spark, str(tmp_path / "texts")), 1, 3)
+    assert "Join" not in plan_of(grams)
+    assert {r.n: r["count"] for r in grams.groupBy("n").count().collect()} == {1: 300 * 40, 2: 300 * 39, 3: 300 * 37}
