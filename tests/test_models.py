@@ -350,3 +350,15 @@ def test_chains_of_words_need_no_join(spark, tmp_path):
     grams = syntax.sn_grams(tree_of(spark, str(tmp_path / "texts")), 1, 3)
     assert "Join" not in plan_of(grams)
     assert {r.n: r["count"] for r in grams.groupBy("n").count().collect()} == {1: 300 * 40, 2: 300 * 39, 3: 300 * 37}
+
+
+def test_connected_sets_need_no_join(spark, tmp_path):
+    tree = tree_of(spark, str(tmp_path / "texts"))
+    sets = syntax.spanning_grams(tree, 1, 3)
+    assert "Join" not in plan_of(sets)
+    # above the bottom, a token with two children and a pair under each child: chains of three and pairs of siblings
+    assert {r.n: r["count"] for r in sets.groupBy("n").count().collect()} == {1: 300 * 40, 2: 300 * 39, 3: 300 * (37 + 19)}
+    star = spark.createDataFrame([(1, i, 0, f"w{i}") for i in range(6)], "sent_id int, idx int, head int, word string")
+    assert syntax.spanning_grams(star, 3, 3).count() == 10
+    circle = spark.createDataFrame([(1, i, (i + 1) % 4, f"w{i}") for i in range(4)], "sent_id int, idx int, head int, word string")
+    assert syntax.spanning_grams(circle, 3, 3).count() == 4
