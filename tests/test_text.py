@@ -120,3 +120,13 @@ def test_attribute_filter(spark):
     df = spark.createDataFrame([([("a", False, None), (",", True, False)],)], "t array<struct<text:string,is_punct:boolean,like_num:boolean>>")
     got = df.select(tokenizers.without_attributes(F.col("t"), ["is_punct", "like_num"]).alias("x")).first().x
     assert [t.text for t in got] == ["a"]
+
+
+def test_spanning_tokens_are_shuffled_with_their_sentence_only(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("doc"), F.array_repeat(F.lit("w"), 20).alias("t")).write.parquet(str(tmp_path / "t"))
+    texts = spark.read.parquet(str(tmp_path / "t")).groupBy("doc").agg(F.min("t").alias("t"))
+    rows = texts.select("doc", F.lit(0).alias("sent"), F.posexplode("t").alias("idx", "lemma")).withColumn("head", F.greatest(F.col("idx") - 1, F.lit(0)))
+    grams = annotated.sn_tokens(rows, spanning=True)
+    plan = grams._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hash") == 1
+    assert grams.columns == ["sent_id", "n", "gram"] and {r.n: r["count"] for r in grams.groupBy("n").count().collect()} == {1: 1000, 2: 950, 3: 900}
