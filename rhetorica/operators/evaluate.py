@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rhetorica.operators import ngrams
-from rhetorica.sources.tables import sent_if_few, stored
+from rhetorica.sources.tables import sent_if_few, shuffled, stored
 
 
 def length_stats(df: DataFrame, by: str, tokens: str = "tokens") -> DataFrame:
@@ -42,7 +42,7 @@ def vectorize(df: DataFrame, doc: str, tokens: str = "tokens", least: int = 1, m
 def naive_bayes(bags: DataFrame, labels: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Multinomial naive Bayes from (doc, gram, n) and (doc, label): the tables (label, gram, log_p)
     and (label, log_prior, log_unseen); natural logarithms."""
-    per = stored(bags.join(labels, "doc").groupBy("label", "gram").agg(F.sum("n").alias("n")), "label-grams")  # read by several branches
+    per = stored(shuffled(bags).join(labels, "doc").groupBy("label", "gram").agg(F.sum("n").alias("n")), "label-grams")  # read by several branches
     size = per.select("gram").distinct().agg(F.count(F.lit(1)).alias("v"))
     totals = per.groupBy("label").agg(F.sum("n").alias("total")).crossJoin(F.broadcast(size))  # size is one row
     grams = per.join(totals, "label").select("label", "gram", F.log((F.col("n") + alpha) / (F.col("total") + alpha * F.col("v"))).alias("log_p"))
@@ -61,11 +61,11 @@ def naive_bayes_scores(bags: DataFrame, grams: DataFrame, classes: DataFrame, em
     classes = sent_if_few(classes)
     delta = grams.join(classes, "label").select("label", "gram", (F.col("log_p") - F.col("log_unseen")).alias("d"))
     known = grams.select(F.lit(None).cast(dict(grams.dtypes)["label"]).alias("label"), "gram", F.lit(1.0).alias("d")).distinct()
-    gained = stored(bags.join(delta.unionByName(known), "gram").groupBy("doc", "label").agg(F.sum(F.col("n") * F.col("d")).alias("g")), "nb-gained")
+    gained = stored(shuffled(bags).join(delta.unionByName(known), "gram").groupBy("doc", "label").agg(F.sum(F.col("n") * F.col("d")).alias("g")), "nb-gained")
     sizes = gained.where("label is null").select("doc", F.col("g").alias("k"))
     if empty:
         sizes = bags.select("doc").distinct().join(sizes, "doc", "left").select("doc", F.coalesce("k", F.lit(0.0)).alias("k"))
-    return sizes.crossJoin(classes).join(gained.where("label is not null"), ["doc", "label"], "left").select(
+    return shuffled(sizes.crossJoin(classes)).join(gained.where("label is not null"), ["doc", "label"], "left").select(
         "doc", "label", (F.col("log_prior") + F.col("k") * F.col("log_unseen") + F.coalesce("g", F.lit(0.0))).alias("log_joint")
     )
 

@@ -362,3 +362,17 @@ def test_connected_sets_need_no_join(spark, tmp_path):
     assert syntax.spanning_grams(star, 3, 3).count() == 10
     circle = spark.createDataFrame([(1, i, (i + 1) % 4, f"w{i}") for i in range(4)], "sent_id int, idx int, head int, word string")
     assert syntax.spanning_grams(circle, 3, 3).count() == 4
+
+
+def test_bags_are_not_broadcast(spark, tmp_path):
+    bags = evaluate.vectorize(arrays_of(spark, str(tmp_path / "texts")), "doc")
+    grams, classes = evaluate.naive_bayes(bags, spark.range(300).select(F.col("id").alias("doc"), (F.col("id") % 2).alias("label")))
+    seen = []
+    before, evaluate.stored = evaluate.stored, lambda df, label: (seen.append(plan_of(df)), before(df, label))[1]
+    try:
+        scores = evaluate.naive_bayes_scores(bags, grams, classes)
+        assert "SortMergeJoin [gram" in seen[0] and scores.count() == 600
+        evaluate.naive_bayes(bags, spark.range(300).select(F.col("id").alias("doc"), (F.col("id") % 2).alias("label")))
+        assert "SortMergeJoin [doc" in seen[1]
+    finally:
+        evaluate.stored = before
