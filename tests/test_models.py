@@ -376,3 +376,19 @@ def test_bags_are_not_broadcast(spark, tmp_path):
         assert "SortMergeJoin [doc" in seen[1]
     finally:
         evaluate.stored = before
+
+
+def test_forest_over_sparse_rows(spark):
+    from pyspark.ml.linalg import Vectors
+
+    # of 262,144 features one decides, by its value: 0 and 1 are class 0, 2 is class 1, 3 is class 2
+    rows = [(float(max(0, i % 4 - 1)), Vectors.sparse(1 << 18, sorted({i % 1000, 200_000}), [1.0, float(i % 4)] if i % 1000 != 200_000 else [1.0])) for i in range(2000)]
+    df = spark.createDataFrame(rows, ["y", "features"])
+    tree = learners.forest(1, depth=2).fit(df)
+    assert [(tree.feature_[0, n], tree.threshold_[0, n]) for n in (1, 3)] == [(200_000, 1.5), (200_000, 2.5)] and tree.split_.sum() == 2
+    out = tree.transform(df)
+    assert out.where("y = prediction").count() == 2000 and out.first().probability.toArray().sum() == pytest.approx(1)
+    weighed = df.withColumn("w", F.when(F.col("y") == 1, 1000.0).otherwise(1.0))
+    assert {r.prediction for r in learners.forest(1, depth=0, weight="w").fit(weighed).transform(df).select("prediction").distinct().collect()} == {1.0}
+    few = learners.forest(5, depth=1, seed=3).fit(df)
+    assert (few.feature_ == learners.forest(5, depth=1, seed=3).fit(df).feature_).all()
