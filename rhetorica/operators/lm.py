@@ -25,6 +25,7 @@ from rhetorica.sources.tables import sent_if_few, shuffled, stored
 
 TINY = 1e-300  # stands for a backoff weight of 0, so that logarithms stay finite
 FULL = 1e-12
+WIDE = 32  # models up to which scores have a column for each
 TABLES = ("probs", "alphas", "bins", "base", "backed")
 
 
@@ -160,9 +161,24 @@ def score(df: DataFrame, m: Model, doc: str = "doc", tokens: str = "tokens", pad
     size = F.size(ngrams.padded(t, m.n, pad_left, pad_right) if pad_left or pad_right else t)
     docs = df.select(F.col(doc).alias("doc"), F.greatest(F.coalesce(size, F.lit(0)) - (m.n - 1), F.lit(0)).alias("grams")).groupBy("doc").agg(F.sum("grams").alias("grams"))
     keys = text_keys(df, m.n, doc, tokens, pad_left, pad_right)
-    gained = shuffled(keys).join(corrections(m), ["k1", "k2"]).groupBy("doc", "model").agg(F.sum(F.col("times") * F.col("delta")).alias("gained"))
-    every = docs.crossJoin(sent_if_few(m.base))  # the result itself has a row for each text and model
-    return shuffled(every).join(gained, ["doc", "model"], "left").select("doc", "model", "grams", (-(F.col("grams") * F.log2("oov") + F.coalesce("gained", F.lit(0.0)))).alias("neg_log2"))
+    few = m.base.select("model", "oov", F.xxhash64("model").alias("m")).take(WIDE + 1)
+    if 0 < len(few) <= WIDE and all(isinstance(r.model, str | int) for r in few):
+        return _score_few(docs, keys, m, few)
+    named = F.xxhash64("model").alias("m")  # a number is summed up faster than a name
+    gained = shuffled(keys).join(corrections(m).select("k1", "k2", named, "delta"), ["k1", "k2"]).groupBy("doc", "m").agg(F.sum(F.col("times") * F.col("delta")).alias("gained"))
+    every = docs.crossJoin(sent_if_few(m.base.withColumn("m", named)))  # the result itself has a row for each text and model
+    return shuffled(every).join(gained, ["doc", "m"], "left").select("doc", "model", "grams", (-(F.col("grams") * F.log2("oov") + F.coalesce("gained", F.lit(0.0)))).alias("neg_log2"))
+
+
+def _score_few(docs: DataFrame, keys: DataFrame, m: Model, few: list) -> DataFrame:
+    """As ``score``, with a column for each of a few models: a text's key is one row, not one for each model that saw it."""
+    seen = corrections(m).select("k1", "k2", F.xxhash64("model").alias("m"), "delta").repartition("k1", "k2")  # so that nothing is combined, and widened, before the shuffle
+    wide = seen.groupBy("k1", "k2").agg(*[F.sum(F.when(F.col("m") == r.m, F.col("delta"))).alias(f"d{i}") for i, r in enumerate(few)])
+    gained = shuffled(keys).join(wide, ["k1", "k2"]).groupBy("doc").agg(*[F.sum(F.col("times") * F.coalesce(f"d{i}", F.lit(0.0))).alias(f"d{i}") for i in range(len(few))])
+    kind = dict(m.base.dtypes)["model"]
+    each = F.array(*[F.struct(F.lit(r.model).cast(kind).alias("model"), F.lit(r.oov).alias("oov"), F.coalesce(f"d{i}", F.lit(0.0)).alias("gained")) for i, r in enumerate(few)])
+    rows = shuffled(docs).join(gained, "doc", "left").select("doc", "grams", F.explode(each).alias("x"))
+    return rows.select("doc", "x.model", "grams", (-(F.col("grams") * F.log2("x.oov") + F.col("x.gained"))).alias("neg_log2"))
 
 
 def entropy(scored: DataFrame) -> DataFrame:

@@ -392,3 +392,15 @@ def test_forest_over_sparse_rows(spark):
     assert {r.prediction for r in learners.forest(1, depth=0, weight="w").fit(weighed).transform(df).select("prediction").distinct().collect()} == {1.0}
     few = learners.forest(5, depth=1, seed=3).fit(df)
     assert (few.feature_ == learners.forest(5, depth=1, seed=3).fit(df).feature_).all()
+
+
+def test_scores_of_few_and_many_models_agree(spark, monkeypatch):
+    rows = [(f"m{k}", [f"w{(i * k) % 9}" for i in range(30)]) for k in range(1, 5)]
+    m = lm.train(spark.createDataFrame(rows, "model string, tokens array<string>"), 3, 0.5)
+    texts = spark.createDataFrame([(1, ["w1", "w2", "w4", "zz", "w1", "w2", "w3"]), (2, ["w0"]), (3, None), (4, ["qq"] * 5), (None, ["w1", "w2", "w3"])], "doc int, tokens array<string>")
+    show = lambda df: sorted((str(r.doc), r.model, r.grams, round(r.neg_log2, 9)) for r in df.collect())
+    few = lm.score(texts, m)
+    assert plan_of(few).count("Generate") == 4  # windows, their n-grams and keys, and at the end a row for each model
+    monkeypatch.setattr(lm, "WIDE", 3)
+    many = lm.score(texts, m)
+    assert show(few.where("doc is not null")) == show(many.where("doc is not null")) and few.count() == many.count() == 20 and few.columns == many.columns
