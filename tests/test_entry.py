@@ -31,3 +31,19 @@ def test_against_duckdb(spark, name):
     a = sorted(tuple(show(r[c]) for c in cols) for r in df.collect())
     b = sorted(tuple(map(show, r)) for r in con.execute(f"SELECT {', '.join(cols)} FROM ({e.oracle_sql()[name]})").fetchall())
     assert a == b and a
+
+
+SCORED = ["l10_prob_seq"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", SCORED)
+def test_texts_are_not_broadcast(spark, monkeypatch, name):
+    """Keys of texts, whose number Spark can't tell from the files, are joined by shuffles in all that a query runs."""
+    from rhetorica.plans import model_queries
+
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    stored, plans = model_queries.stored, []
+    monkeypatch.setattr(model_queries, "stored", lambda df, label: (plans.append(plan_of(df)), stored(df, label))[1])
+    plans.append(plan_of(e.queries()[name](spark, DATA)))
+    assert not any("BroadcastHashJoin [k1" in p for p in plans) and any("SortMergeJoin [k1" in p for p in plans)
