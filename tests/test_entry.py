@@ -33,7 +33,7 @@ def test_against_duckdb(spark, name):
     assert a == b and a
 
 
-SCORED = ["l10_prob_seq", "c10_posterior", "k06_isotonic"]
+SCORED = ["l10_prob_seq", "c10_posterior", "k06_isotonic", "e16_confusion"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
