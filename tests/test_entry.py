@@ -33,7 +33,7 @@ def test_against_duckdb(spark, name):
     assert a == b and a
 
 
-SCORED = ["l10_prob_seq", "c10_posterior", "k06_isotonic", "e16_confusion", "c07_joint_proba", "e12_one_vs_one", "k07_calibration_curve", "l11_entropy", "c09_argmax", "e16_weighted_f1"]
+SCORED = ["l10_prob_seq", "c10_posterior", "k06_isotonic", "e16_confusion", "c07_joint_proba", "e12_one_vs_one", "k07_calibration_curve", "l11_entropy", "c09_argmax", "e16_weighted_f1", "e17_report"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
